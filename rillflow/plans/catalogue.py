@@ -1,2 +1,349 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over the test tables, one or more for each operator of the engine, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillflow.engine import Engine
+from rillflow.functions.keys import plain_key
+from rillflow.operators import query
+from rillflow.operators.intervals import periods_and_gaps
+from rillflow.sources.tables import table
+from rillflow.udf import ArrowMap, ColumnMap, Fold, PyFold
+
+EVENT_TYPES = ("view", "click", "purchase")
+
+CONFIG = """
+[storage.memory]
+type = "memory"
+
+[schema.event]
+user_id = "int64"
+event_id = "int64"
+event_type = "string"
+cents = "int64"
+
+[schema.tallied]
+user_id = "int64"
+event_id = "int64"
+cents = "int64"
+
+[schema.total]
+user_id = "int64"
+total = "int64"
+
+[schema.enriched]
+user_id = "int64"
+event_id = "int64"
+cents = "int64"
+doubled = "int64"
+
+[schema.pair]
+user_id = "int64"
+click_id = "int64"
+click_cents = "int64"
+purchase_id = "int64"
+purchase_cents = "int64"
+
+[schema.triple]
+user_id = "int64"
+view_id = "int64"
+click_id = "int64"
+purchase_id = "int64"
+
+[schema.customer]
+c_custkey = "int64"
+c_name = "string"
+
+[schema.order]
+o_custkey = "int64"
+o_orderkey = "int64"
+o_orderstatus = "string"
+
+[schema.customer_order]
+custkey = "int64"
+name = "string"
+orderkey = "int64"
+status = "string"
+
+[streams.events]
+schema = "event"
+partition_key = "user_id"
+
+[streams.views]
+schema = "event"
+partition_key = "user_id"
+
+[streams.clicks]
+schema = "event"
+partition_key = "user_id"
+
+[streams.purchases]
+schema = "event"
+partition_key = "user_id"
+
+[streams.customers]
+schema = "customer"
+partition_key = "c_custkey"
+
+[streams.orders]
+schema = "order"
+partition_key = "o_custkey"
+
+[streams.doubled]
+base = "events"
+type = "map"
+schema = "event"
+partition_key = "user_id"
+fn = "double"
+
+[streams.doubled_arrow]
+base = "events"
+type = "map"
+schema = "event"
+partition_key = "user_id"
+fn = "double_arrow"
+
+[streams.doubled_total]
+base = "doubled"
+type = "reduce"
+schema = "event"
+partition_key = "user_id"
+fn = "sum"
+
+[streams.recent]
+base = "doubled_total"
+type = "window"
+schema = "event"
+partition_key = "user_id"
+window = { type = "count", interval = "3" }
+
+[streams.enriched]
+base = "events"
+type = "join"
+schema = "enriched"
+partition_key = "user_id"
+join = ["doubled"]
+map = { user_id = "events.user_id", event_id = "events.event_id", cents = "events.cents", doubled = "doubled.cents" }
+
+[streams.pairs]
+base = "clicks"
+type = "join"
+schema = "pair"
+partition_key = "user_id"
+join = ["purchases"]
+map = { user_id = "clicks.user_id", click_id = "clicks.event_id", click_cents = "clicks.cents", purchase_id = "purchases.event_id", purchase_cents = "purchases.cents" }
+
+[streams.triples]
+type = "join"
+schema = "triple"
+partition_key = "user_id"
+join = ["views", "clicks", "purchases"]
+map = { user_id = "views.user_id", view_id = "views.event_id", click_id = "clicks.event_id", purchase_id = "purchases.event_id" }
+
+[streams.customer_orders]
+base = "customers"
+type = "join"
+schema = "customer_order"
+partition_key = "custkey"
+join = ["orders"]
+map = { custkey = "customers.c_custkey", name = "customers.c_name", orderkey = "orders.o_orderkey", status = "orders.o_orderstatus" }
+"""
+STEPS = ("sum", "min", "max", "count", "last", "first")
+CONFIG += "".join(f'\n[streams.reduce_{s}]\nbase = "events"\ntype = "reduce"\nschema = "event"\npartition_key = "user_id"\nfn = "{s}"\n' for s in (*STEPS, "udf_fold"))
+#: name of the query: interval, slide (in offsets, or with a unit), closed end
+WINDOWS = {
+    "window_tumbling_5": ("5", None, False),
+    "window_sliding_5_1": ("5", "1", False),
+    "window_tumbling_5_closed": ("5", None, True),
+    "window_sliding_6_2_closed": ("6", "2", True),
+    "window_gap_2_5": ("2", "5", False),
+}
+CONFIG += "".join(
+    f'\n[streams.{n}]\nbase = "events"\ntype = "window"\nschema = "event"\npartition_key = "user_id"\nwindow = {{ type = "count", interval = "{i}"{f", slide = {chr(34)}{s}{chr(34)}" if s else ""}{", closed_end = true" if c else ""} }}\n'
+    for n, (i, s, c) in {**WINDOWS, "window_timed_1d": ("1d", None, False), "window_timed_2h_1h": ("2h", "1h", False)}.items()
+)
+
+
+def _double_arrow(batch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pa.RecordBatch.from_arrays([pc.multiply(batch.column(batch.schema.get_field_index("cents")), 2)], names=["cents"])
+
+
+def _sum(prev: dict, curr: dict) -> dict:
+    return {**curr, "cents": (prev["cents"] or 0) + (curr["cents"] or 0)}
+
+
+def engine(spark: SparkSession, d: str) -> Engine:
+    """The engine with the streams above over the tables of a folder."""
+    e = Engine(spark)
+    e.register_udf("double", ColumnMap(lambda c: {"cents": c["cents"] * 2}))
+    e.register_udf("double_arrow", ArrowMap(_double_arrow))
+    for s in STEPS:
+        e.register_udf(s, Fold({"cents": s}))
+    e.register_udf("udf_fold", PyFold(_sum))
+    e.apply_config(CONFIG)
+    events = table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    e.bind_source("events", events, ["ts", "event_id"])
+    for kind in EVENT_TYPES:
+        e.bind_source(f"{kind}s", events.where(F.col("event_type") == kind), ["ts", "event_id"])
+    e.bind_source("customers", table(spark, d, "customer").withColumn("since", F.lit("1970-01-01").cast("timestamp_ntz")), ["since", "c_custkey"])
+    e.bind_source("orders", table(spark, d, "orders"), ["o_orderdate", "o_orderkey"])
+    return e
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).latest("doubled").select("user_id", "event_id", "cents", "_offset")
+
+
+def _log(name: str):
+    return lambda spark, d: engine(spark, d).stream(name).select("user_id", "event_id", "cents", "_offset")
+
+
+def _window(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        w = engine(spark, d).stream(name)
+        ids = F.array_join(F.transform("records", lambda r: r["event_id"].cast("string")), ",")
+        return w.select("user_id", F.col("_offset").alias("window_no"), "window_start", "window_end", "first_offset", "last_offset", F.size("records").cast("bigint").alias("n"), ids.alias("ids"))
+
+    return run
+
+
+def _timed(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        w = engine(spark, d).stream(name)
+        total = F.aggregate("records", F.lit(0).cast("bigint"), lambda a, r: a + r["cents"])
+        return w.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", total.alias("cents"))
+
+    return run
+
+
+def _source_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "produced_record").where("stream_name = 'reading' and partition_id is not null").select(F.from_json("data", "id string, data bigint").alias("r"))
+    return rows.groupBy(F.col("r.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("r.data").alias("total"))
+
+
+def _rekeyed_log(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "produced_record").where("partition_id is not null and record_offset is not null")
+    newest = rows.groupBy("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset").agg(F.max("write_no").alias("write_no"))
+    return query.latest(newest.withColumn("_offset", F.col("record_offset")).withColumn("k", F.concat_ws("/", "stream_name", "partition_id")), "k").select("stream_name", "partition_id", "record_offset", "write_no")
+
+
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 7).alias("_offset"))
+    return engine(spark, d).lookup("events", wanted).select("user_id", "event_id", "cents", "_offset")
+
+
+def _committed(spark: SparkSession, d: str) -> DataFrame:
+    spans = periods_and_gaps(table(spark, d, "ack_range").withColumn("offset_key", plain_key("offset_key")), ["subscription_id", "stream_name", "offset_key"], "range_start", "range_end")
+    first = spans.where("span_kind = 'period' and span_start = 0").select("subscription_id", "stream_name", "offset_key", (F.col("span_end") + 1).alias("committed"))
+    known = table(spark, d, "partition_offsets").groupBy("subscription_id", "stream_name", plain_key("partition_id").alias("offset_key")).agg(F.max("range_end").alias("range_end"))
+    out = known.join(first, ["subscription_id", "stream_name", "offset_key"], "left").withColumn("committed", F.coalesce("committed", F.lit(0)))
+    return out.select("subscription_id", "stream_name", "offset_key", "committed", F.greatest(F.col("range_end") + 1 - F.col("committed"), F.lit(0)).alias("backlog"))
+
+
+def _sel(df: DataFrame) -> DataFrame:
+    return df.select("user_id", "event_id", "cents", "_offset")
+
+
+MIDDLE = "2024-01-15 00:00:00"
+QUERIES = {
+    "offsets": _log("events"),
+    "source_json": _source_json,
+    "source_log_latest": _rekeyed_log,
+    "map_double": _log("doubled"),
+    "map_arrow_udf": _log("doubled_arrow"),
+    **{f"reduce_{s}": _log(f"reduce_{s}") for s in (*STEPS, "udf_fold")},
+    "join_two": lambda s, d: engine(s, d).stream("pairs").drop("_timestamp"),
+    "join_three_way": lambda s, d: engine(s, d).stream("triples").drop("_timestamp"),
+    "join_customer_orders": lambda s, d: engine(s, d).stream("customer_orders").drop("_timestamp"),
+    "join_lineage": lambda s, d: engine(s, d).log("pairs", lineage=True).select("user_id", "_offset", "_src_offset_clicks", "_src_offset_purchases"),
+    **{n: _window(n) for n in WINDOWS},
+    "window_timed_1d": _timed("window_timed_1d"),
+    "window_timed_2h_1h": _timed("window_timed_2h_1h"),
+    "query_latest": lambda s, d: _sel(engine(s, d).latest("events")),
+    "query_latest_one": lambda s, d: _sel(engine(s, d).latest("events", 7)),
+    "query_at_3": lambda s, d: _sel(engine(s, d).stream("events").where("_offset = 3")),
+    "query_at_one": lambda s, d: _sel(engine(s, d).at("events", 7, 3)),
+    "query_range": lambda s, d: _sel(query.between(engine(s, d).stream("events"), 2, 6)),
+    "query_by_timestamp": lambda s, d: _sel(engine(s, d).at_timestamp("events", MIDDLE)),
+    "query_lookup_many": _lookup,
+    "pipeline_double_total": _log("doubled_total"),
+    "pipeline_recent": lambda s, d: engine(s, d).stream("recent").select("user_id", F.col("_offset").alias("window_no"), F.size("records").cast("bigint").alias("n"), "cents"),
+    "pipeline_enriched": lambda s, d: engine(s, d).stream("enriched").drop("_timestamp"),
+    "take_first_n": lambda s, d: _sel(query.take_first(engine(s, d).stream("events"), "user_id", 500)),
+    "subscription_backlog": _committed,
+}
+
+_LOG = "log as (select user_id, event_id, event_type, ts, cast(round(value * 100) as bigint) as c, row_number() over (partition by user_id order by ts, event_id) - 1 as o from events)"
+_COLS = "user_id, event_id, {c} as cents, o as _offset from log"
+
+
+def _reduce_sql(f: str) -> str:
+    return f"with {_LOG} select " + _COLS.format(c=f"cast({f} over (partition by user_id order by o rows between unbounded preceding and current row) as bigint)")
+
+
+def _window_sql(size: int, slide: int, closed: bool) -> str:
+    span = size + 1 if closed else size
+    return f"""with {_LOG}, m as (select max(o) as top from log), w as (select w from (select unnest(range(0, (select top from m) // {slide} + 1)) as w))
+select user_id, w as window_no, w * {slide} as window_start, w * {slide} + {span} as window_end, min(o) as first_offset, max(o) as last_offset, count(*) as n, string_agg(event_id::varchar, ',' order by o) as ids
+from log join w on o >= w * {slide} and o < w * {slide} + {span} group by user_id, w"""
+
+
+def _side(kind: str, place: int) -> str:
+    return f"select user_id, ts, {place} as i, row_number() over (partition by user_id order by ts, event_id) - 1 as f, event_id, cast(round(value * 100) as bigint) as c from events where event_type = '{kind}'"
+
+
+def _join_sql(kinds: tuple[str, ...], columns: str) -> str:
+    union = " union all ".join(_side(k, i) for i, k in enumerate(kinds))
+    seen = ", ".join(f"last_value(case when i = {i} then {c} end ignore nulls) over w as {k}_{n}" for i, k in enumerate(kinds) for n, c in (("id", "event_id"), ("cents", "c"), ("off", "f")))
+    return f"with u as ({union}), j as (select user_id, row_number() over w - 1 as _offset, {seen} from u window w as (partition by user_id order by ts, i, f rows between unbounded preceding and current row)) select user_id, _offset, {columns} from j"
+
+
+ORACLE = {
+    "offsets": f"with {_LOG} select " + _COLS.format(c="c"),
+    "source_json": "select data ->> '$.id' as id, count(*) as n, cast(sum(cast(data ->> '$.data' as bigint)) as bigint) as total from produced_record where stream_name = 'reading' and partition_id is not null group by 1",
+    "source_log_latest": "select stream_name, k as partition_id, record_offset, write_no from (select stream_name, rtrim(partition_id, chr(0)) as k, record_offset, max(write_no) as write_no, row_number() over (partition by stream_name, rtrim(partition_id, chr(0)) order by record_offset desc) as n from produced_record where partition_id is not null and record_offset is not null group by 1, 2, 3) where n = 1",
+    "map_double": f"with {_LOG} select " + _COLS.format(c="c * 2"),
+    "map_arrow_udf": f"with {_LOG} select " + _COLS.format(c="c * 2"),
+    "reduce_sum": _reduce_sql("sum(c)"),
+    "reduce_udf_fold": _reduce_sql("sum(c)"),
+    "reduce_min": _reduce_sql("min(c)"),
+    "reduce_max": _reduce_sql("max(c)"),
+    "reduce_count": _reduce_sql("count(*)"),
+    "reduce_last": _reduce_sql("last_value(c)"),
+    "reduce_first": _reduce_sql("first_value(c)"),
+    "join_two": _join_sql(("click", "purchase"), "click_id, click_cents, purchase_id, purchase_cents"),
+    "join_three_way": _join_sql(("view", "click", "purchase"), "view_id, click_id, purchase_id"),
+    "join_lineage": _join_sql(("click", "purchase"), "click_off as _src_offset_clicks, purchase_off as _src_offset_purchases"),
+    "join_customer_orders": """
+with u as (select c_custkey as k, 0 as i, null as ts, c_name, null as o, null as s from customer union all select o_custkey, 1, o_orderdate, null, o_orderkey, o_orderstatus from orders)
+select k as custkey, row_number() over w - 1 as _offset, last_value(c_name ignore nulls) over w as name, last_value(o ignore nulls) over w as orderkey, last_value(s ignore nulls) over w as status
+from u window w as (partition by k order by i, ts, o rows between unbounded preceding and current row)""",
+    **{n: _window_sql(int(i), int(s or i), c) for n, (i, s, c) in WINDOWS.items()},
+    "window_timed_1d": "select user_id, date_trunc('day', ts)::timestamp as window_start, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1, 2",
+    "window_timed_2h_1h": "select user_id, (date_trunc('hour', ts) - to_hours(h))::timestamp as window_start, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events, (values (0), (1)) t(h) group by 1, 2",
+    "query_latest": f"with {_LOG} select " + _COLS.format(c="c") + " qualify o = max(o) over (partition by user_id)",
+    "query_latest_one": f"with {_LOG} select " + _COLS.format(c="c") + " where user_id = 7 qualify o = max(o) over (partition by user_id)",
+    "query_at_3": f"with {_LOG} select " + _COLS.format(c="c") + " where o = 3",
+    "query_at_one": f"with {_LOG} select " + _COLS.format(c="c") + " where o = 3 and user_id = 7",
+    "query_range": f"with {_LOG} select " + _COLS.format(c="c") + " where o between 2 and 6",
+    "query_by_timestamp": f"with {_LOG} select " + _COLS.format(c="c") + f" where ts >= timestamp '{MIDDLE}' qualify o = min(o) over (partition by user_id)",
+    "query_lookup_many": f"with {_LOG} select " + _COLS.format(c="c") + " where (user_id, o) in (select c_custkey, c_custkey % 7 from customer)",
+    "pipeline_double_total": _reduce_sql("sum(2 * c)"),
+    "pipeline_recent": f"with {_LOG}, t as (select user_id, o, sum(2 * c) over (partition by user_id order by o rows between unbounded preceding and current row) as s from log) select user_id, o // 3 as window_no, count(*) as n, cast(arg_max(s, o) as bigint) as cents from t group by 1, 2",
+    "pipeline_enriched": f"""with {_LOG}, u as (select user_id, o, i from log, (values (0), (1)) t(i)),
+j as (select user_id, o, i, row_number() over (partition by user_id order by (select ts from log l where l.user_id = u.user_id and l.o = u.o), i, o) - 1 as _offset from u)
+select j.user_id, j._offset, l.event_id, l.c as cents, case when j.i = 1 then l.c * 2 else p.c * 2 end as doubled from j join log l on l.user_id = j.user_id and l.o = j.o left join log p on p.user_id = j.user_id and p.o = j.o - 1""",
+    "take_first_n": f"with {_LOG}, b as (select *, count(*) over (partition by user_id) as n from log) select user_id, event_id, c as cents, o as _offset from b order by n, user_id, o limit 500",
+    "subscription_backlog": """
+with r as (select distinct subscription_id, stream_name, rtrim(offset_key, chr(0)) as offset_key, range_start as a, range_end as b from ack_range where range_start <= range_end),
+m as (select *, max(b) over (partition by subscription_id, stream_name, offset_key order by a, b rows between unbounded preceding and 1 preceding) as top from r),
+n as (select *, sum(case when top is null or a > top + 1 then 1 else 0 end) over (partition by subscription_id, stream_name, offset_key order by a, b) as island from m),
+p as (select subscription_id, stream_name, offset_key, max(b) + 1 as committed from n group by 1, 2, 3, island having min(a) = 0),
+k as (select subscription_id, stream_name, rtrim(partition_id, chr(0)) as offset_key, max(range_end) as e from partition_offsets group by 1, 2, 3)
+select k.subscription_id, k.stream_name, k.offset_key, coalesce(committed, 0) as committed, greatest(e + 1 - coalesce(committed, 0), 0) as backlog from k left join p using (subscription_id, stream_name, offset_key)""",
+}
