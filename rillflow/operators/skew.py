@@ -24,7 +24,7 @@ def salted_aggregate(df: DataFrame, keys: list[str], partial: dict[str, Column],
 
     Rows of heavy keys get a salt below `salts`, drawn by hashing `spread_by` (evenly, and the same again when a task is
     repeated); partial results are computed per key and salt by `partial`, then merged per key by `merge`, whose
-    columns read those of `partial`. With `spread_by` a column, all its equal values share a salt, so that distinct counts
+    columns read those of `partial` (whose names must differ from the keys'). With `spread_by` a column, all its equal values share a salt, so that distinct counts
     of it may be added. Null keys are kept as a key of their own. Columns named ``__salt`` in the input are replaced.
     """
     spread = F.monotonically_increasing_id() if spread_by is None else spread_by
@@ -45,8 +45,8 @@ def key_statistics(df: DataFrame, keys: list[str], record: str, arrived: str, sh
     out = salted_aggregate(
         keyed,
         keys,
-        {"n": F.count(F.lit(1)), "d": F.count_distinct(F.col(record)), "a": F.min(arrived), "b": F.max(arrived)},
-        {"n_rows": F.sum("n"), "n_records": F.sum("d"), "first_arrival": F.min("a"), "last_arrival": F.max("b")},
+        {"__n": F.count(F.lit(1)), "__d": F.count_distinct(F.col(record)), "__a": F.min(arrived), "__b": F.max(arrived)},
+        {"n_rows": F.sum("__n"), "n_records": F.sum("__d"), "first_arrival": F.min("__a"), "last_arrival": F.max("__b")},
         heavy,
         salts,
         F.col(record),

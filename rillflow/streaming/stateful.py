@@ -8,6 +8,7 @@ micro-batch bounds what a task sorts (`maxFilesPerTrigger`, `maxOffsetsPerTrigge
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 Step = Callable[[Any, list[dict]], tuple[Any, list[dict]]]
 
 
@@ -86,34 +88,35 @@ def stream_join(inputs: dict[str, tuple[DataFrame, str]], key: str, mapping: dic
 
     A record for each arrival with the latest record of each input, carried as a whole.
     """
-    parts, kinds = [], {}
-    for i, (name, (df, k)) in enumerate(inputs.items()):
-        wanted = {v.split(".")[1] for v in mapping.values() if "." in v and v.split(".")[0] == name}
-        for f, v in mapping.items():
-            if v.split(".")[0] == name:
-                kinds[f] = df.schema[v.split(".")[1]].dataType
-        parts.append(df.select(F.col(k).cast("string").alias("__key"), F.col(order[name]).cast("timestamp_ntz").alias("__at"), F.lit(i).alias("__input"), F.struct(*[F.col(c) for c in sorted(wanted)]).alias(f"s{i}")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p, allowMissingColumns=True)
-    names = list(inputs)
     pairs = {f: tuple(v.split(".")[:2]) for f, v in mapping.items() if "." in v}
-    schema = T.StructType([T.StructField("__key", T.StringType()), *(T.StructField(f, kinds[f]) for f in sorted(pairs)), T.StructField("_offset", T.LongType())])
-
-    def plain(v):
-        return v.asDict() if hasattr(v, "asDict") else dict(v) if v is not None else None
+    names, parts, records = list(inputs), [], []
+    for i, (name, (df, k)) in enumerate(inputs.items()):
+        record = df.select(*sorted({c for s, c in pairs.values() if s == name})).schema
+        records.append(record)
+        # As text, since a batch of rows reaches the processor without nested columns.
+        text = F.to_json(F.struct(*record.names), _JSON) if record.names else F.lit("{}")
+        parts.append(df.select(F.col(k).cast("string").alias("__key"), F.col(order[name]).cast("timestamp_ntz").alias("__at"), F.lit(i).alias("__input"), text.alias("__record")))
+    # The exchange that the state needs anyway; said here, it keeps the optimizer from pushing the operator's doubled key column through the union.
+    union = functools.reduce(DataFrame.unionByName, parts).repartition("__key")
+    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("_offset", T.LongType()), *(T.StructField(f"__r{i}", T.StringType()) for i in range(len(names)))])
 
     def step(held, rows):
         n, sides = held or (0, {})
         out = []
         for r in rows:
-            sides[names[r["__input"]]] = plain(r[f"s{r['__input']}"])
-            out.append({"__key": r["__key"], "_offset": n} | {f: (sides.get(s) or {}).get(c) for f, (s, c) in pairs.items()})
+            sides[r["__input"]] = r["__record"]
+            out.append({"__key": r["__key"], "_offset": n} | {f"__r{i}": sides.get(i) for i in range(len(names))})
             n += 1
         return (n, sides), out
 
-    out = _run(union, "__key", step, ["__at", "__input"], schema, "Append")
-    return out.withColumn(key, F.coalesce(F.col(key), F.col("__key").cast(kinds[key]))).drop("__key") if key in kinds else out.withColumnRenamed("__key", key)
+    joined = _run(union, "__key", step, ["__at", "__input"], schema, "Append")
+    read = {f: F.from_json(f"__r{names.index(s)}", records[names.index(s)], _JSON).getField(c) for f, (s, c) in pairs.items()}
+    if key in read:
+        s, c = pairs[key]
+        read[key] = F.coalesce(read[key], F.col("__key").cast(records[names.index(s)][c].dataType))
+    else:
+        read[key] = F.col("__key")
+    return joined.select(*[read[f].alias(f) for f in sorted(read)], "_offset")
 
 
 def stream_window(df: DataFrame, key: str, order: list[str], size: int, slide: int | None = None, closed_end: bool = False) -> DataFrame:
