@@ -29,14 +29,15 @@ def configure(spark: SparkSession) -> None:
 
 
 class _Keyed(StatefulProcessor):
-    def __init__(self, step: Step, order: list[str], columns: list[str]):
-        self.step, self.order, self.columns = step, order, columns
+    def __init__(self, step: Step, order: list[str], inputs: list[str], columns: list[str]):
+        self.step, self.order, self.inputs, self.columns = step, order, inputs, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", T.StructType([T.StructField("v", T.BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
+        pdf.columns = self.inputs  # over a union they arrive without their names
         pdf = pdf.sort_values(self.order, kind="stable", na_position="first")
         records = [{k: (None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
         held = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else None
@@ -51,7 +52,7 @@ class _Keyed(StatefulProcessor):
 
 def _run(df: DataFrame, key: str, step: Step, order: list[str], schema: T.StructType, mode: str) -> DataFrame:
     configure(df.sparkSession)
-    return df.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(statefulProcessor=_Keyed(step, order, schema.names), outputStructType=schema, outputMode=mode, timeMode="None")
+    return df.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(statefulProcessor=_Keyed(step, order, df.columns, schema.names), outputStructType=schema, outputMode=mode, timeMode="None")
 
 
 def _with(schema: T.StructType, *names: str) -> T.StructType:
@@ -96,8 +97,7 @@ def stream_join(inputs: dict[str, tuple[DataFrame, str]], key: str, mapping: dic
         # As text, since a batch of rows reaches the processor without nested columns.
         text = F.to_json(F.struct(*record.names), _JSON) if record.names else F.lit("{}")
         parts.append(df.select(F.col(k).cast("string").alias("__key"), F.col(order[name]).cast("timestamp_ntz").alias("__at"), F.lit(i).alias("__input"), text.alias("__record")))
-    # The exchange that the state needs anyway; said here, it keeps the optimizer from pushing the operator's doubled key column through the union.
-    union = functools.reduce(DataFrame.unionByName, parts).repartition("__key")
+    union = functools.reduce(DataFrame.unionByName, parts)
     schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("_offset", T.LongType()), *(T.StructField(f"__r{i}", T.StringType()) for i in range(len(names)))])
 
     def step(held, rows):
