@@ -18,6 +18,8 @@ from rillflow.llm.tagger import TYPES, Tagger, encode
 
 #: Most windows with spans that are drawn on (the corpus of scale 0.1 has fewer).
 SAMPLE = 20_000
+#: Batches of 96 windows that are trained on.
+STEPS = 2_400
 
 # Given names of the test corpus.
 GIVEN = (
@@ -31,7 +33,9 @@ _SYLLABLES = [a + b for a in "b br c cl d dr f fl g gr h j k kr l m n p pl qu r
 
 def _patterns() -> dict[str, re.Pattern]:
     g = "(?:" + "|".join([*GIVEN, *(n.upper() for n in GIVEN)]) + ")"
-    s = r"[A-ZÀ-Þ][\wà-ÿß]{2,}(?:-[A-ZÀ-Þ][\wà-ÿß]{2,})?"
+    ends = "|".join([*_ENDS, "strom", *(e.upper() for e in _ENDS), "STROM"])
+    one = rf"[A-ZÀ-Þ][\wà-ÿß]*(?:{ends})"
+    s = rf"{one}(?:-{one})?"
     part = r"(?:van|von|de|della|al|VAN|VON|DE|DELLA|AL)"
     cap = r"[A-ZÀ-Þ][\wà-ÿß'’-]+"
     kind = r"(?:Street|Road|Row|Lane|Close|Cl|Ave\.?|Avenue|Blvd|Weg|Terrace|St)"
@@ -139,20 +143,20 @@ def _draw(r: random.Random, item) -> tuple[np.ndarray, np.ndarray]:
         s, e = max(s, a), min(e, b)
         pieces.append(t[at:s])
         tags += [0] * (s - at)
-        new = _value(r, TYPES[k], t[s:e]) if whole and r.random() < 0.6 else t[s:e]
+        new = _value(r, TYPES[k], t[s:e]) if whole and r.random() < 0.8 else t[s:e]
         pieces.append(new)
         tags += [1 + 2 * k] + [2 + 2 * k] * (len(new) - 1)
         at = e
     pieces.append(t[at:b])
     tags += [0] * (b - at)
     text = "".join(pieces)
-    if r.random() < 0.08:
+    if r.random() < 0.15:
         upper = "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
         text = upper
     return encode(text), np.array(tags, np.int64)
 
 
-def train(texts: list[str], steps: int = 1400, batch: int = 96, hidden: int = 32, seed: int = 7, say=print) -> Tagger:
+def train(texts: list[str], steps: int = STEPS, batch: int = 96, hidden: int = 32, seed: int = 7, say=print) -> Tagger:
     r = random.Random(seed)
     full, empty = windows_of(texts)
     r.shuffle(full)
@@ -187,4 +191,4 @@ if __name__ == "__main__":
     import pyarrow.parquet as pq
 
     rows = [t for t in pq.read_table(sys.argv[1], columns=["text"]).column(0).to_pylist() if t]
-    train(rows, int(sys.argv[3]) if len(sys.argv) > 3 else 1400).save(sys.argv[2])
+    train(rows, int(sys.argv[3]) if len(sys.argv) > 3 else STEPS, seed=int(sys.argv[4]) if len(sys.argv) > 4 else 7).save(sys.argv[2])
