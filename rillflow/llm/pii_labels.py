@@ -2,7 +2,7 @@
 
 The labels are distant ones: patterns with contexts, written for the test corpus of scale 0.1, mark its spans on a bounded
 sample (`SAMPLE` windows with spans and three times as many without). Values are then exchanged for made-up ones, so that
-the tagger learns forms and contexts, not the values. Run: python -m rillflow.llm.pii_labels TABLE OUT.npz
+the tagger learns forms and contexts, not the values. Run: python -m rillflow.llm.pii_labels TABLE OUT.npz [STEPS [START.npz]]
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ def label(text: str) -> list[tuple[int, int, int]]:
             if kind == "name" and (_NOT_BEFORE.search(text[max(0, a - 8) : a]) or _NOT_AFTER.match(text[b : b + 8]) or re.search(r"(?:Square|Brook)$", m.group(), re.I)):
                 continue
             if kind == "street_address":
-                words = [w for w in re.findall(r"[^\W\d_]+", m.group()) if len(w) > 3 and w.lower() not in pii.STREET.split("|")]
-                if not words or not all(w[0].isupper() or w in ("impasse", "place", "chemin", "boulevard") for w in words[:1]):
+                words = [w for w in re.findall(r"[^\W\d_]+", m.group()) if len(w) > 1 and w.lower() not in pii.STREET.split("|")]
+                if not words or not (words[0][0].isupper() or words[0] in ("bis", "ter", "de", "du", "des", "boulevard")):
                     continue
             if all(b <= x or a >= y for x, y, _ in out):
                 out.append((a, b, TYPES.index(kind)))
@@ -86,6 +86,20 @@ def _given(r: random.Random) -> str:
     return r.choice(GIVEN) if r.random() < 0.8 else _made(r, 2) + r.choice(("", "n", "a", "s", "l"))
 
 
+def _address(r: random.Random, old: str) -> str:
+    """An address in one of the forms of the old one's language."""
+    low, name, n = old.lower(), _made(r, r.choice((1, 2, 2, 3))), r.choice((r.randint(1, 99), r.randint(100, 199), r.randint(1000, 1199)))
+    if re.search(r"straße|strasse|gasse|\bweg\b|hof\b", low):
+        n = r.randint(1, 199)
+        return r.choice((f"{name}straße {n}{r.choice(('', 'a', 'b'))}", f"{name}gasse {n}, {r.randint(1, 5)}. Stock", f"{name}er Weg {n}", f"Am {name}hof {n}"))
+    if re.search(r"\b(?:rue|impasse|place|avenue|chemin|quai|allée|boulevard)\b", low) and not re.match(r"avenida", low):
+        return f"{n}{r.choice(('', ' bis', ' ter'))}{r.choice((' ', ', '))}{r.choice(('rue de', 'impasse', 'place', 'avenue du', 'chemin'))} {name}"
+    if re.match(r"calle|c/|avenida|plaza|paseo", low):
+        return r.choice((f"Calle {name} {n}", f"C/ {name} {n}, {r.randint(1, 9)}º {r.choice('ABCD')}", f"Avenida de {name}, {n}", f"Plaza {name} {n}"))
+    way = r.choice(("Street", "Road", "Row", "Lane", "Close", "Cl", "Weg"))
+    return r.choice((f"{n} {name} {way}", f"{n}{r.choice('AB')} {name} {way}", f"{n} {name} Street, Apt {r.randint(1, 30)}", f"Flat {r.randint(1, 9)}, {n} {name} Row", f"{n} {r.choice(('North', 'South'))} {name} Ave.", f"{n} {name} Blvd #{r.randint(1, 30)}", f"{name} Terrace {n}"))
+
+
 def _value(r: random.Random, kind: str, old: str) -> str:
     """Another value of the same form."""
     if kind in ("phone", "id_number"):
@@ -101,6 +115,10 @@ def _value(r: random.Random, kind: str, old: str) -> str:
         new = f"{surname}, {given}" if form < 0.12 else f"{given} {r.choice('ABCDEFGHJKLMNOPRSTW')}. {surname}" if form < 0.3 else f"{given} {r.choice(_PARTS)} {surname}" if form < 0.45 else f"{given} {surname}"
         return new.upper() if old.isupper() else new
     if kind == "street_address":
+        if r.random() < 0.4:
+            new = _address(r, old)
+            return new.upper() if old.isupper() else new
+
         def swap(m: re.Match) -> str:
             w = m.group()
             if w.lower() in pii.STREET.split("|") or w.lower() in ("flat", "apt", "unit", "floor", "north", "south", "east", "west", "am", "stock", "bis", "ter", "de", "du", "des"):
@@ -112,8 +130,14 @@ def _value(r: random.Random, kind: str, old: str) -> str:
         new = re.sub(r"[^\W\d_]{2,}", swap, old)
         return re.sub(r"\d+", lambda m: str(r.randint(1, 10 ** len(m.group()))), new)
     m = re.match(r"[\w.+-]+", old)
+    tail = old[m.end() :]
+    if r.random() < 0.5:
+        domain = r.choice(("example.com", "example.net", "example.org", "kiosk.test", "museum.invalid", "mail.example", "letters.example.net", "post.example.org", f"{_made(r).lower()}.{r.choice(('com', 'org', 'test'))}"))
+        at, dot = r.choice((("@", "."), ("@", "."), (" @ ", "."), (" (at) ", "."), ("[at]", "[dot]"), ("&#64;", "."), (" at ", " dot ")))
+        tail = at + domain.replace(".", dot)
+        tail = tail.upper() if old.isupper() else tail
     local = r.choice((f"{_made(r)}{r.choice(_ENDS)}_{r.randint(0, 99):02d}", f"{_given(r)}+wiki", f"{_given(r)}.{_made(r)}{r.choice(_ENDS)}", f"{_made(r)}{r.choice(_ENDS)}-{_given(r)}", f"{_made(r, 1)[0]}{_made(r)}{r.choice(_ENDS)}")).lower()
-    return (local.upper() if old.isupper() else local) + old[m.end() :]
+    return (local.upper() if old.isupper() else local) + tail
 
 
 def windows_of(texts: list[str]) -> tuple[list, list]:
@@ -130,6 +154,10 @@ def windows_of(texts: list[str]) -> tuple[list, list]:
     return full, empty
 
 
+def _other_digits(r: random.Random, text: str) -> str:
+    return re.sub(r"\d", lambda _: r.choice("0123456789"), text) if r.random() < 0.4 else text
+
+
 def _draw(r: random.Random, item) -> tuple[np.ndarray, np.ndarray]:
     t, a, b, _, spans = item
     a, b = max(0, a + r.randint(-20, 20)), min(len(t), b + r.randint(-20, 20))
@@ -141,13 +169,13 @@ def _draw(r: random.Random, item) -> tuple[np.ndarray, np.ndarray]:
             continue
         whole = s >= a and e <= b
         s, e = max(s, a), min(e, b)
-        pieces.append(t[at:s])
+        pieces.append(_other_digits(r, t[at:s]))
         tags += [0] * (s - at)
         new = _value(r, TYPES[k], t[s:e]) if whole and r.random() < 0.8 else t[s:e]
         pieces.append(new)
         tags += [1 + 2 * k] + [2 + 2 * k] * (len(new) - 1)
         at = e
-    pieces.append(t[at:b])
+    pieces.append(_other_digits(r, t[at:b]))
     tags += [0] * (b - at)
     text = "".join(pieces)
     if r.random() < 0.15:
@@ -156,21 +184,22 @@ def _draw(r: random.Random, item) -> tuple[np.ndarray, np.ndarray]:
     return encode(text), np.array(tags, np.int64)
 
 
-def train(texts: list[str], steps: int = STEPS, batch: int = 96, hidden: int = 32, seed: int = 7, say=print) -> Tagger:
+def train(texts: list[str], steps: int = STEPS, batch: int = 96, hidden: int = 32, seed: int = 7, say=print, start: Tagger | None = None) -> Tagger:
+    """With `start`, training goes on from there at a lower rate."""
     r = random.Random(seed)
     full, empty = windows_of(texts)
     r.shuffle(full)
     r.shuffle(empty)
     full, empty = full[:SAMPLE], empty[: 3 * SAMPLE]
     say(f"{len(full)} windows with spans, {len(empty)} without")
-    tagger = Tagger(hidden, seed)
+    tagger = start or Tagger(hidden, seed)
 
     def draw(_: int):
         items = [r.choice(full) if r.random() < 0.55 else r.choice(empty) for _ in range(batch)]
         rows = [_draw(r, i) for i in items]
         return [x for x, _ in rows], [y for _, y in rows]
 
-    tagger.fit(draw, steps, say=lambda s, v: say(f"step {s}: {v:.3f}"))
+    tagger.fit(draw, steps, 1.5e-3 if start else 4e-3, say=lambda s, v: say(f"step {s}: {v:.3f}"))
     return tagger
 
 
@@ -191,4 +220,4 @@ if __name__ == "__main__":
     import pyarrow.parquet as pq
 
     rows = [t for t in pq.read_table(sys.argv[1], columns=["text"]).column(0).to_pylist() if t]
-    train(rows, int(sys.argv[3]) if len(sys.argv) > 3 else STEPS, seed=int(sys.argv[4]) if len(sys.argv) > 4 else 7).save(sys.argv[2])
+    train(rows, int(sys.argv[3]) if len(sys.argv) > 3 else STEPS, start=Tagger.load(sys.argv[4]) if len(sys.argv) > 4 else None).save(sys.argv[2])

@@ -15,7 +15,7 @@ _HIDDEN = re.compile(r"<(ref|script|style|math|templatedata)\b[^<>]*?/>|<(ref|sc
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _OUTSIDE = re.compile(r"\[(?:https?:|ftp:|mailto:|//)[^\s\[\]]*\s?([^\[\]]*)\]")
 _URL = re.compile(r"\b(?:https?|ftp)://[^\s<>\[\]|{}]+")
-_TEMPLATE = re.compile(r"\{\{\{?([^{}]*)\}\}\}?")
+_TEMPLATE = re.compile(r"\{\{\{([^{}]*)\}\}\}|\{\{([^{}]*)\}\}")
 _PARAMETER = re.compile(r"^\s*[^=|<>\[\]{}\n]{1,60}=")
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|td|tr|th|table|hr|h[1-6]|blockquote|center|poem|pre|gallery|dd|dt|dl|section)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -44,7 +44,7 @@ def _link(m: re.Match) -> str:
 
 
 def _values(m: re.Match) -> str:
-    parts = m.group(1).split("|")
+    parts = (m.group(1) if m.group(2) is None else m.group(2)).split("|")
     return " " + " ".join(_PARAMETER.sub(" ", p) for p in parts[1:]) + " "
 
 
