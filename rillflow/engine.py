@@ -13,7 +13,7 @@ from rillflow.catalog import Topography
 from rillflow.errors import RecordNotFound, RillError, SourceError
 from rillflow.operators import query
 from rillflow.operators.join import apply_join
-from rillflow.operators.log import STRETCH_S, as_log
+from rillflow.operators.log import STRETCH_S, as_log, largest_key
 from rillflow.operators.map import apply_map
 from rillflow.operators.reduce import apply_reduce
 from rillflow.operators.window import apply_count_window, apply_timed_window
@@ -21,12 +21,22 @@ from rillflow.subscription import Subscription
 from rillflow.udf import ArrowMap, ColumnMap, Fold, PyFold, Registry
 
 
+#: Rows of a key that one task may sort; a source with a larger key is processed in stretches of time.
+HOT_ROWS = 2_000_000
+
+
 class Engine:
-    """Composes each derived stream from its bases; Catalyst plans the whole DAG at once."""
+    """Composes each derived stream from its bases; Catalyst plans the whole DAG at once.
+
+    Keys of usual size are one window each, and all operators stacked on a source share its exchange. Where a source has a
+    key of more than `hot_rows` rows (counted once when it is first read), it and what is derived from it run in
+    stretches of `stretch_s` seconds, which costs a pre-aggregation for each operator and spreads the key.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, stretch_s: int = STRETCH_S):
+    def __init__(self, spark: SparkSession, path: str | None = None, stretch_s: int = STRETCH_S, hot_rows: int = HOT_ROWS):
         self.spark, self.topography, self.functions = spark, Topography(path), Registry()
-        self.stretch_s = stretch_s
+        self.stretch_s, self.hot_rows = stretch_s, hot_rows
+        self._hot: dict[str, bool] = {}
         self._sources: dict[str, tuple[DataFrame, list[str], str | None]] = {}
 
     def ping(self) -> bool:
@@ -56,6 +66,7 @@ class Engine:
         if self.topography.stream(stream).kind is not None:
             raise SourceError(f"stream {stream!r} is derived; it takes no records")
         self._sources[stream] = (df, list(order_by), timestamp)
+        self._hot.pop(stream, None)
 
     def produce(self, stream: str, rows: DataFrame, order_by: list[str] | None = None, timestamp: str | None = None) -> None:
         """Append records after those the stream has. Without `order_by` they arrive in the order they were given (of small, local input)."""
@@ -70,6 +81,7 @@ class Engine:
         df = new if held is None else held[0].unionByName(new)
         df.__dict__["_rill_batches"] = batch + 1
         self._sources[stream] = (df, ["__batch", "__order"], "__at")
+        self._hot.pop(stream, None)
 
     def produce_json(self, stream: str, rows: str | Iterable[str | dict[str, Any]]) -> None:
         """Append records given as JSON objects (one text, texts or dicts). A text that isn't a JSON object is an error."""
@@ -85,6 +97,15 @@ class Engine:
         df = self.spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string").withColumn("r", F.from_json("t", struct)).coalesce(1).sortWithinPartitions("i").select(F.lpad(F.col("i").cast("string"), 20, "0").alias("__i"), "r.*")
         self.produce(stream, df, ["__i"])
 
+    def is_hot(self, name: str) -> bool:
+        """Whether the stream, or one it is derived from, has a key too large for one task."""
+        spec = self.topography.stream(name)
+        if spec.kind is not None:
+            return any([self.is_hot(i) for i in spec.inputs])
+        if name not in self._hot and name in self._sources:
+            self._hot[name] = largest_key(self._sources[name][0], spec.partition_key) > self.hot_rows
+        return self._hot.get(name, False)
+
     def log(self, name: str, lineage: bool = False) -> DataFrame:
         """A stream with its system columns."""
         spec, fields = self.topography.stream(name), self.topography.fields(name)
@@ -92,15 +113,17 @@ class Engine:
             if name not in self._sources:
                 raise SourceError(f"stream {name!r} has no records bound")
             df, order_by, timestamp = self._sources[name]
-            return as_log(df, fields, spec.partition_key, order_by, timestamp, self.stretch_s)
+            if spec.partition_key not in df.columns:
+                raise SourceError(f"the source of {name!r} lacks {spec.partition_key!r}")
+            return as_log(df, fields, spec.partition_key, order_by, timestamp, self.stretch_s, self.is_hot(name))
         if spec.kind == "join":
             inputs = {i: (self.log(i), self.topography.stream(i).partition_key) for i in spec.inputs}
-            return apply_join(inputs, spec.partition_key, fields, dict(spec.mapping), lineage, self.stretch_s)
+            return apply_join(inputs, spec.partition_key, fields, dict(spec.mapping), lineage, self.stretch_s, self.is_hot(name))
         base, of = self.log(spec.base), self.topography.stream(spec.base).partition_key
         if spec.kind == "map":
             return apply_map(base, self.functions.get(spec.function, ColumnMap, ArrowMap), fields)
         if spec.kind == "reduce":
-            return apply_reduce(base, self.functions.get(spec.function, Fold, PyFold), of, fields)
+            return apply_reduce(base, self.functions.get(spec.function, Fold, PyFold), of, fields, self.is_hot(name))
         size, slide = spec.window.sizes()
         if spec.window.timed:
             held = F.sort_array(F.collect_list(F.struct("_offset", *sorted(self.topography.fields(spec.base)))))

@@ -13,7 +13,7 @@ from rillflow.operators.scan import Running, running
 from rillflow.types import conform
 
 
-def apply_join(inputs: dict[str, tuple[DataFrame, str]], key: str, fields: dict[str, str], mapping: dict[str, str], lineage: bool = False, stretch_s: int = STRETCH_S) -> DataFrame:
+def apply_join(inputs: dict[str, tuple[DataFrame, str]], key: str, fields: dict[str, str], mapping: dict[str, str], lineage: bool = False, stretch_s: int = STRETCH_S, stretched: bool = True) -> DataFrame:
     """inputs: {stream: (log, its key column)}, in the order that breaks ties of time; mapping: {field: "stream.column"}.
 
     One record for each arrival on any input, with the latest record of each input for the key up to then; an input not
@@ -21,7 +21,8 @@ def apply_join(inputs: dict[str, tuple[DataFrame, str]], key: str, fields: dict[
     `_timestamp` (nulls first), then by the inputs' order, then by offset. `lineage` adds `_src_offset_<stream>`. Mapping
     entries without a dot are ignored.
 
-    One exchange over the union of the inputs, on (key, stretch of time): a hot key spreads over its stretches.
+    One exchange over the union of the inputs, on the key or, with `stretched`, on (key, stretch of time): a hot key then
+    spreads over its stretches.
     """
     pairs = {f: tuple(v.split(".")[:2]) for f, v in mapping.items() if "." in v}
     parts = []
@@ -32,7 +33,7 @@ def apply_join(inputs: dict[str, tuple[DataFrame, str]], key: str, fields: dict[
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("_stretch", stretch_of(seconds=stretch_s))
     order = ["_timestamp", "__input", "__from"]
     latest = [Running(f"__l{i}", "last", F.col(f"__s{i}")) for i in range(len(inputs))]
-    out = running(union, ["__key"], order, [*latest, Running("__n", "count", F.lit(1))])
+    out = running(union, ["__key"], order, [*latest, Running("__n", "count", F.lit(1))], "_stretch" if stretched else None)
     place = {name: i for i, name in enumerate(inputs)}
 
     def source(f: str):

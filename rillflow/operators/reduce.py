@@ -16,16 +16,16 @@ from rillflow.types import conform, struct_type
 from rillflow.udf import Fold, PyFold
 
 
-def apply_reduce(df: DataFrame, fn: Fold | PyFold, key: str, fields: dict[str, str]) -> DataFrame:
+def apply_reduce(df: DataFrame, fn: Fold | PyFold, key: str, fields: dict[str, str], stretched: bool = True) -> DataFrame:
     """out[0] = in[0]; out[n] = fn(out[n-1], in[n]), per key in offset order; same offsets.
 
-    A Fold runs on window functions inside stretches of a key, so hot keys are spread. A PyFold is sequential by nature:
+    A Fold runs on window functions, with `stretched` inside stretches of a key, so hot keys are spread. A PyFold is sequential by nature:
     each key streams through one task, sorted, one record in memory; prefer a Fold where one key may be very large. Nulls
     don't move a Fold's sum, min, max, last or first. A log without rows gives none.
     """
     if isinstance(fn, Fold):
         values = [Running(f"__r_{c}", s, F.lit(1) if s == "count" else F.col(c)) for c, s in fn.steps.items()]
-        out = running(df, [key], ["_offset"], values)
+        out = running(df, [key], ["_offset"], values, "_stretch" if stretched else None)
         source = {c: F.col(f"__r_{c}") for c in fn.steps}
         return out.select(*[conform(f, fields[f], lambda n: source.get(n, F.col(n) if n in df.columns else F.lit(None))) for f in sorted(fields)], *SYSTEM)
     declared = struct_type(fields)

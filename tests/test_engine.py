@@ -187,6 +187,20 @@ def test_running_values_over_stretches_equal_one_window(spark):
         assert got[-1] == sum(x[3] or 0 for x in mine)
 
 
+def test_hot_sources_run_in_stretches(spark, sf):
+    from rillflow.plans import catalogue
+
+    usual = catalogue.engine(spark, sf)
+    hot = catalogue.engine(spark, sf)
+    hot.hot_rows = 10
+    assert not usual.is_hot("doubled_total") and hot.is_hot("doubled_total") and hot.is_hot("enriched")
+    for name in ("events", "doubled_total", "pairs", "enriched"):
+        a, b = (sorted(map(str, e.stream(name).collect())) for e in (usual, hot))
+        assert a == b
+    plan = usual.stream("doubled_total")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
+
+
 def test_key_filter_reaches_the_scan(spark, sf):
     from rillflow.plans.catalogue import engine
 
