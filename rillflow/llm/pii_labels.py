@@ -71,7 +71,7 @@ def label(text: str) -> list[tuple[int, int, int]]:
                 continue
             if kind == "street_address":
                 words = [w for w in re.findall(r"[^\W\d_]+", m.group()) if len(w) > 1 and w.lower() not in pii.STREET.split("|")]
-                if not words or not (words[0][0].isupper() or words[0] in ("bis", "ter", "de", "du", "des", "boulevard")):
+                if not words or not (words[0][0].isupper() or words[0] in ("bis", "ter", "de", "du", "des", "boulevard")) or words[0].lower() in pii.NOT_GIVEN and words[0].lower() not in ("am", "de", "du", "des"):
                     continue
             if all(b <= x or a >= y for x, y, _ in out):
                 out.append((a, b, TYPES.index(kind)))
