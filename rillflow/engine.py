@@ -37,6 +37,7 @@ class Engine:
         self.spark, self.topography, self.functions = spark, Topography(path), Registry()
         self.stretch_s, self.hot_rows = stretch_s, hot_rows
         self._hot: dict[str, bool] = {}
+        self._batches: dict[str, int] = {}
         self._sources: dict[str, tuple[DataFrame, list[str], str | None]] = {}
 
     def ping(self) -> bool:
@@ -75,11 +76,11 @@ class Engine:
             raise SourceError(f"the records lack {sorted(missing)}")
         order = [F.col(c).cast("string") for c in order_by or []] or [F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")]
         held = self._sources.get(stream)
-        batch = 0 if held is None else held[0].__dict__.get("_rill_batches", 0)
+        batch = 0 if held is None else self._batches.get(stream, 0)
         at = F.col(timestamp).cast("timestamp_ntz") if timestamp else F.localtimestamp()
         new = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct], at.alias("__at"), F.lit(batch).alias("__batch"), F.struct(*order).cast("string").alias("__order"))
         df = new if held is None else held[0].unionByName(new)
-        df.__dict__["_rill_batches"] = batch + 1
+        self._batches[stream] = batch + 1
         self._sources[stream] = (df, ["__batch", "__order"], "__at")
         self._hot.pop(stream, None)
 

@@ -43,8 +43,8 @@ class FileManifest:
     """Manifest of processed input files under `root`, with output batches beside it.
 
     `run(listing, process)` calls `process(paths) -> DataFrame` with the new and changed files only. Layout:
-    ``root/out/batch_id=.../`` (written first, idempotently) and ``root/manifest/<seq>-<batch>.json`` (committed last,
-    by rename). Two runs racing for the same sequence number can't both commit. Empty listings commit nothing.
+    ``root/out/batch_id=.../`` (written first, idempotently) and ``root/manifest/<seq>.json`` (committed last, by a
+    rename that must not find the name taken: on HDFS it is atomic, so of two runs racing for a number one commits). Empty listings commit nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -96,8 +96,8 @@ class FileManifest:
         return batch
 
     def _commit(self, seq: int, batch: str, todo: list[dict]) -> None:
-        temp, final = self._path(f"{self.root}/manifest/.{batch}.tmp"), self._path(f"{self.root}/manifest/{seq:012d}-{batch}.json")
-        if any(n.startswith(f"{seq:012d}-") for n in self._committed()):
+        temp, final = self._path(f"{self.root}/manifest/.{batch}.tmp"), self._path(f"{self.root}/manifest/{seq:012d}.json")
+        if final.getName() in self._committed():
             raise RuntimeError(f"another run has committed number {seq}")
         out = self._fs.create(temp, True)
         out.write("".join(json.dumps(r | {"batch_id": batch, "seq": seq}) + "\n" for r in todo).encode())
@@ -115,8 +115,9 @@ class FileManifest:
         rows = rows.withColumn("batch_id", F.col("batch_id").cast("string"))
         if source_file_column is None:
             return rows
-        live = entries.select(F.col("path").alias("__path"), F.col("batch_id").alias("__batch"))
-        return rows.join(live, (F.col(source_file_column) == F.col("__path")) & (F.col("batch_id") == F.col("__batch")), "left_semi")
+        bare = lambda c: F.regexp_replace(F.col(c), "^file:/+", "file:/")
+        live = entries.select(bare("path").alias("__path"), F.col("batch_id").alias("__batch"))
+        return rows.join(live, (bare(source_file_column) == F.col("__path")) & (F.col("batch_id") == F.col("__batch")), "left_semi")
 
 
 def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs read the stored rows, in the same partitions, even after an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, so that they needn't share the driver's folders."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rillflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="rillflow-package-"), "rillflow.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith((".py", ".npz")):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("rillflow", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._rillflow_shipped = True

@@ -13,6 +13,7 @@ from rillflow.operators.log import as_log
 from rillflow.operators.reduce import apply_reduce
 from rillflow.udf import ArrowMap, ColumnMap, Fold, PyFold
 
+T0 = dt.datetime(2024, 1, 1)
 CUSTOMERS = """
 [schema.customer]
 id = "string"
@@ -281,3 +282,20 @@ def test_streaming_equals_batch(spark, tmp_path):
         held.setdefault(k, [None, None])[d >= 25] = n
         want.append((k, *held[k]))
     assert sorted((x.id, x.l, x.r) for x in joined.collect() if x.l is not None and x.r is not None) == sorted(w for w in want if None not in w)
+
+
+def test_push_delivery_and_timed_windows(spark, tmp_path):
+    from rillflow.streaming import stateful as S
+    from rillflow.subscription import Subscription
+
+    spark.createDataFrame([("a", i, T0 + dt.timedelta(minutes=i)) for i in range(4)] + [("b", 9, T0)], "id string, n int, t timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id string, n int, t timestamp_ntz").parquet(str(tmp_path / "in"))
+    sub, taken = Subscription("s", 500, tmp_path / "cursor.json"), []
+    sub.take(1, 3, 0)
+    q = S.push(S.stream_offsets(source, "id", ["n"]), sub, "id", lambda df: taken.extend((r.id, r._offset, r.client) for r in df.collect()), lambda: 0, str(tmp_path / "c1"))
+    q.awaitTermination(120)
+    assert sorted(taken) == [("a", 0, 1), ("a", 1, 1), ("b", 0, 1)] and (tmp_path / "cursor.json").exists()
+    w = S.stream_timed_window(source, "id", "t", "2 minutes", None, "1 minute", {"n": F.count(F.lit(1))})
+    q = w.writeStream.format("memory").queryName("timed").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.id, r.n) for r in spark.table("timed").collect()) == [("a", 2), ("a", 2), ("b", 1)]
