@@ -80,7 +80,7 @@ class Tagger:
         np.savez_compressed(path, **{n: getattr(self, n).astype(np.float16) for n in self.NAMES})
 
     @classmethod
-    def load(cls, path: str) -> "Tagger":
+    def load(cls, path) -> "Tagger":
         with np.load(path) as z:
             t = cls(z["recur"].shape[1])
             for n in cls.NAMES:
