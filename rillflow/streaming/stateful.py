@@ -148,6 +148,7 @@ def stream_window(df: DataFrame, key: str, order: list[str], size: int, slide: i
 def stream_timed_window(df: DataFrame, key: str, timestamp: str, size: str, slide: str | None, lateness: str, values: dict) -> DataFrame:
     """Built-in time windows with a watermark: rows later than `lateness` are dropped by Spark's rule."""
     w = F.window(timestamp, size, slide) if slide else F.window(timestamp, size)
+    df = df.withColumn(timestamp, F.col(timestamp).cast("timestamp"))  # a watermark wants a time with a zone
     return df.withWatermark(timestamp, lateness).groupBy(key, w).agg(*[c.alias(n) for n, c in values.items()])
 
 
