@@ -30,6 +30,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes a core; inputs smaller than this times the cores are spread before work that is heavy a row.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which may lie in one file and so in one task, over all cores. Larger inputs have tasks enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once a session, so that they needn't share the driver's folders."""
     sc = spark.sparkContext
