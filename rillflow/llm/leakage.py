@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm.render import plain_words, words
-from rillflow.runtime import cut_lineage
+from rillflow.runtime import cut_lineage, spread
 
 #: Words of a seed, words that must stand together, words kept around a hit.
 SEED, RUN, AROUND = 6, 12, 80
@@ -180,7 +180,7 @@ def aligned_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark: SparkSession = documents.sparkSession
     found: DataFrame | None = None
-    docs = documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("bigint"), "text")).where("doc_id is not null and text is not null")
     for block in _blocks(items):
         index = Index(block)
         packed = pickle.dumps(index)

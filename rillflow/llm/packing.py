@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.runtime import cut_lineage
+from rillflow.runtime import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Texts of a partition, rounds of exchange, and how full a container must be to stay out of one (in a certified partition: less,
@@ -66,7 +66,7 @@ def token_counts(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(count(b.column(1).to_pylist()), pa.int64())], names=out.names)
 
-    return df.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(run, out)
+    return spread(df.select("doc_id", "text")).where("text is not null and doc_id is not null").mapInArrow(run, out)
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
