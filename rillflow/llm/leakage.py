@@ -4,8 +4,10 @@
    This is the only pass over the corpus; hits are stored.
 2. Document counts of the items' n-grams over the whole corpus say which are rare. From each window of RUN words of an
    item the rarest n-gram becomes a seed: a document that shows the window shows its seed, so nothing is lost.
-3. Seeds join documents to items; Smith-Waterman alignment scores each pair, edited and paraphrased copies included,
-   and gives the longest run of equal words.
+3. Seeds join documents to items; Smith-Waterman alignment scores each pair and gives the longest run of equal words.
+
+Edited copies need other seeds: an edit breaks the n-grams around it, and the broken ones are the rarest. For them every
+n-gram of an item is a seed, and the item is aligned with the whole document.
 """
 
 from __future__ import annotations
@@ -49,14 +51,14 @@ def _hashes(ids: np.ndarray, n: int = SEED) -> np.ndarray:
 class Index:
     """Word numbers of the items, and their n-grams: sorted hashes, and for each its items."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    def __init__(self, items: list[tuple[int, str, str]], shortest: int = RUN):
         self.vocabulary: dict[str, int] = {}
         self.fields: list[tuple[int, np.ndarray]] = []
         grams: dict[int, set[int]] = {}
         for item, passage, question in items:
             for text in (passage, question):
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words(text)], np.int64)
-                if len(ids) >= RUN:
+                if len(ids) >= shortest:
                     for h in _hashes(ids):
                         grams.setdefault(int(h), set()).add(len(self.fields))
                     self.fields.append((item, ids))
@@ -90,21 +92,20 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
     Rows of the table are vectors; gaps along a row come out of a running maximum.
     """
-    equal = a[:, None] == b[None, :]
-    sub = np.where(equal, MATCH, MISMATCH)
     row = np.zeros(len(b) + 1, np.int64)
     run = np.zeros(len(b) + 1, np.int64)
     steps = np.arange(len(b) + 1) * GAP
     best = longest = 0
     for i in range(len(a)):
+        equal = b == a[i]  # a row at a time: a document may be long
         new = np.zeros_like(row)
-        np.maximum(row[:-1] + sub[i], row[1:] + GAP, out=new[1:])
+        np.maximum(row[:-1] + np.where(equal, MATCH, MISMATCH), row[1:] + GAP, out=new[1:])
         np.maximum(new, 0, out=new)
         new = np.maximum.accumulate(new - steps) + steps
         row = new
         best = max(best, int(row.max()))
         fresh = np.zeros_like(run)
-        fresh[1:] = np.where(equal[i], run[:-1] + 1, 0)
+        fresh[1:] = np.where(equal, run[:-1] + 1, 0)
         run = fresh
         longest = max(longest, int(run.max()))
     return best, longest
@@ -154,6 +155,31 @@ def _align_pairs(index: bytes, seeds: dict[int, set[int]]):
     return run
 
 
+_SCORES = T.StructType(_PAIRS.fields[:4])
+
+
+def _align_documents(index: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx: Index = pickle.loads(index)
+        get = idx.vocabulary.get
+        for b in batches:
+            best: dict[tuple[int, int, int], int] = {}  # repeated texts and both fields of an item: only the best of a length is kept
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array([get(w, -1) for w in words(text)], np.int64)
+                at = idx.hits(ids)
+                if not len(at):
+                    continue
+                for f in set().union(*(idx.of[int(g)] for g in np.unique(_hashes(ids)[at]))):
+                    item, want = idx.fields[f]
+                    pair = doc, item, len(want)
+                    best[pair] = max(best.get(pair, 0), align(want, ids)[0])
+            if best:
+                doc, item, size = zip(*best)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, item, list(best.values()), size)], names=_SCORES.names)
+
+    return run
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str, str]]]:
     """Items in blocks; only a block is on the driver at a time."""
     block, size = [], 0
@@ -199,6 +225,17 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def edited_copies(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, share): pairs whose alignment has at least `share` of the score of an exact copy, the best of each pair."""
-    scored = aligned_pairs(documents, items).withColumn("share", F.col("score") / (F.lit(MATCH) * F.col("item_words")))
+    """(doc_id, item_id, share): pairs whose alignment has at least `share` of the score of an exact copy, the best of each pair.
+
+    Every document and item field with SEED words in a row in common are aligned, however common those words are and whether
+    or not RUN words stand together; the score is that of the whole document. A copy in which no SEED words in a row are left
+    as they were isn't aligned, whatever its score would be. One pass over the corpus for each block of items; nothing is
+    stored or collected.
+    """
+    docs = spread(documents.select(F.col("doc_id").cast("bigint"), "text")).where("doc_id is not null and text is not null")
+    found: DataFrame | None = None
+    for block in _blocks(items):
+        part = docs.mapInArrow(_align_documents(pickle.dumps(Index(block, SEED))), _SCORES)
+        found = part if found is None else found.unionByName(part)
+    scored = (found if found is not None else documents.sparkSession.createDataFrame([], _SCORES)).withColumn("share", F.col("score") / (F.lit(MATCH) * F.col("item_words")))
     return scored.groupBy("doc_id", "item_id").agg(F.max("share").alias("share")).where(F.col("share") >= share)

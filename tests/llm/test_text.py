@@ -65,6 +65,50 @@ def test_leaks_equal_brute_force(spark):
     assert all(s <= 1 for s in best.values()) and len(best) >= 20
 
 
+def best_score(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(max(0, row[k] + (2 if x == y else -1), row[k + 1] - 1, new[k] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_edited_copies_equal_brute_force(spark):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(900)]
+    stock = vocab[:8]  # a phrase that many items and documents hold
+    items = [(i, " ".join(r.choices(vocab, k=r.choice((24, 60))) + stock), " ".join(r.choices(vocab, k=r.choice((8, 14))))) for i in range(12)] + [(90, None, ""), (91, "one two three", None)]
+    docs, planted = [], set()
+    for d in range(90):
+        text = r.choices(vocab, k=r.randrange(60)) + (stock if d % 3 == 0 else [])
+        if d % 2:
+            i, p, q = items[d % 12]
+            step = r.choice((7, 9, 11))
+            copy = [w for k, w in enumerate(p.split()) for w in ((w,) if k % step != step - 1 else r.choice(((), ("edit",), (w, "more"))))]
+            cut = len(copy) // 2  # some copies have words between their halves
+            text += copy[:cut] + ["between"] * r.choice((0, 0, 3, 200)) + copy[cut:] + r.choices(vocab, k=9)
+            planted.add((d, i))
+        docs.append((d, " ".join(text)))
+    docs += [(200, items[0][2]), (201, None), (202, ""), (203, docs[1][1]), (203, items[2][1])]
+    dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string, question string")
+    want = {}
+    for d, t in docs:
+        x = words(t)
+        grams = {tuple(x[k : k + 6]) for k in range(len(x) - 5)}
+        for i, *fields in items:
+            for y in map(plain_words, (f or "" for f in fields)):
+                if any(tuple(y[k : k + 6]) in grams for k in range(len(y) - 5)):
+                    want[d, i] = max(want.get((d, i), 0), best_score(y, x) / (2 * len(y)))
+    for share in (0.1, 0.5):
+        got = [(x.doc_id, x.item_id, x.share) for x in leakage.edited_copies(dd, ii, share).collect()]
+        assert len(got) == len({x[:2] for x in got}) and {x[:2]: x[2] for x in got} == {k: s for k, s in want.items() if s >= share}
+    without_run = {(d, i) for d, i in planted if i not in runs(docs[d][1], [(a, p or "", q or "") for a, p, q in items])}
+    assert len(without_run & {x[:2] for x in got}) >= 20
+    assert leakage.edited_copies(dd.limit(0), ii).count() == 0 and leakage.edited_copies(dd, ii.limit(0)).count() == 0
+
+
 def test_alignment():
     a = np.arange(20)
     assert leakage.align(a, a) == (40, 20)
