@@ -6,6 +6,7 @@ Two layers share one rule, the anti-join of a *listing* (what exists now: identi
 * `FileManifest` does it for input files. A run lists the files, anti-joins the manifest, writes its output into a
   directory named by a batch identifier (overwritten when the same batch is tried again) and only then commits a
   manifest entry by renaming it into place. A run that dies before the commit leaves nothing a reader sees.
+* `file_runs` drives it over a whole table: a first run, a change of the files, a second run, and one with nothing to do.
 * `pending_offsets` does it for the records of a keyed log, per subscription.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -138,6 +140,58 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], names=LISTING.names)
 
 
+_DAY_US = 86_400_000_000
+
+
+def _put_days(df: DataFrame, folder: str) -> None:
+    """One file for each value of `day`, under a name of its own; a file of that name is replaced."""
+    spark = df.sparkSession
+    path, temp = spark._jvm.org.apache.hadoop.fs.Path, f"{folder}.{uuid.uuid4().hex}"
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    df.repartition("day").write.partitionBy("day").parquet(temp)
+    for at in fs.listStatus(path(temp)):
+        if at.isDirectory():
+            files = [f.getPath() for f in fs.listStatus(at.getPath())]
+            if len(files) != 1:
+                raise RuntimeError(f"{len(files)} files for {at.getPath().getName()}")
+            final = path(f"{folder}/{at.getPath().getName().replace('=', '')}.parquet")
+            fs.delete(final, False)
+            if not fs.rename(files[0], final):
+                raise RuntimeError(f"could not put {final}")
+    fs.delete(path(temp), True)
+
+
+def file_runs(records: DataFrame, at: str, root: str) -> DataFrame | None:
+    """The records, with `run` (1 or 2): the run of a `FileManifest` under `root` that processed the file they lie in now.
+
+    The records are laid into files by the day of `at` (those without a time into one more). Run 1 sees what had arrived by
+    the middle of the whole time. Then the rest arrives: the file of a day that was cut in two changes, later days come as new
+    files. Run 2 processes those alone, and a third run must find nothing. Of a changed file only the newer version counts, so every
+    record comes out once. None for an empty table. The rows are read from `root` when they are asked for.
+    """
+    spark = records.sparkSession
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    low, high = records.agg(F.min(us), F.max(us)).first()
+    cut = None if low is None else low + (high - low) // 2
+    rest = None if cut is None else records.where(us > cut).agg(F.min(us)).first()[0]
+    days = records.withColumn("day", F.coalesce(F.floor(us / _DAY_US), F.lit(-1)))
+    manifest, folder = FileManifest(spark, f"{root}/state"), f"{root}/in"
+    process = lambda paths: spark.read.schema(records.schema).parquet(*paths).withColumn("_file", F.input_file_name())
+    _put_days(days.where(us.isNull() | (us <= F.lit(cut).cast("bigint"))), folder)
+    manifest.run(manifest.listing([folder]), process)
+    if rest is not None:
+        _put_days(days.where(F.col("day") >= rest // _DAY_US), folder)
+        manifest.run(manifest.listing([folder]), process)
+    if manifest.run(manifest.listing([folder]), process) is not None:
+        raise RuntimeError("a run without a change found files to process")
+    rows = manifest.read("_file")
+    if rows is None:
+        return None
+    runs = manifest.entries().select("batch_id", (F.col("seq") + 1).alias("run")).distinct()
+    return rows.join(F.broadcast(runs), "batch_id").select(*records.columns, "run")
+
+
 #: Offsets of a key are joined in stretches of this length, so that the largest key spreads over many tasks.
 STRETCH_BITS = 14
 

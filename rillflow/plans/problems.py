@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions.keys import person_id, plain_key
 from rillflow.operators import dedup, incremental, intervals, references, skew
+from rillflow.runtime import cut_lineage, ensure_checkpoint_dir
 from rillflow.sources.tables import table
 
 
@@ -14,6 +17,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending_offsets(table(spark, d, "produced_record"), table(spark, d, "partition_offsets"), table(spark, d, "key_offset"))
 
 
+def p1_file_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "produced_record")
+    root = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    try:
+        done = incremental.file_runs(rows, "arrived_at", root)
+        found = rows.limit(0).withColumn("run", F.lit(0).cast("bigint")) if done is None else done
+        return cut_lineage(found.groupBy("stream_name", "run").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("record_offset").cast("bigint").alias("sum_offset"), F.sum(F.length("data")).alias("n_chars")))
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _key_statistics(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     rows = table(spark, d, "produced_record").select("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset", "arrived_at")
     return skew.key_statistics(rows, ["stream_name", "partition_id"], "record_offset", "arrived_at")
@@ -67,7 +82,7 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exactly_once(*_deliveries(spark, d)).groupBy("subscription_id", "stream_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("delivery_id").cast("bigint").alias("sum_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_key_statistics, p3_found, p3_report, p3_current, p4_found, p5_found, p5_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_report, p3_current, p4_found, p5_found, p5_kept)}
 
 _ASOF = """
 e as (select distinct lower(trim(id, ' ' || chr(9) || chr(10) || chr(13))) as k, event_id, coalesce(is_deleted, false) as gone, arrived_at from update_customer_event where trim(id) <> ''),
@@ -92,6 +107,12 @@ b as (select s.subscription_id, s.stream_name, s.k, first, greatest(end_a, end_b
 l as (select b.subscription_id, b.stream_name, b.k, v.o, arg_max(v.content, v.w) as listed, arg_max(v.content, v.w) filter (where v.o <= b.mark and v.arrived_at <= b.success) as held
       from b join v on v.stream_name = b.stream_name and v.k = b.k and v.o between b.first and b.last group by 1, 2, 3, 4)
 select subscription_id, stream_name, k as partition_id, o as record_offset from l where listed is distinct from held""",
+    "p1_file_runs": """
+with r as (select stream_name, record_offset, data, epoch_us(arrived_at) as us from produced_record),
+c as (select min(us) + (max(us) - min(us)) // 2 as cut from r),
+n as (select min(us) as us from r, c where r.us > c.cut)
+select stream_name, case when r.us // 86400000000 >= n.us // 86400000000 then 2 else 1 end as run, count(*) as n_rows, cast(sum(record_offset) as bigint) as sum_offset, cast(sum(length(data)) as bigint) as n_chars
+from r, n group by 1, 2""",
     "p2_found": """
 select stream_name, rtrim(partition_id, chr(0)) as partition_id from produced_record where stream_name is not null and partition_id is not null
 group by 1, 2 having count(*) >= 0.02 * (select count(*) from produced_record)""",

@@ -69,6 +69,19 @@ def test_file_manifest_survives_failure(spark, tmp_path):
         m._commit(0, "again", [])
 
 
+def test_file_runs_hold_each_record_once(spark, tmp_path):
+    day = lambda n, h: f"2024-01-{n:02d} {h:02d}:00:00"
+    rows = [(1, day(1, 0)), (2, day(2, 5)), (2, day(2, 5)), (3, day(4, 1)), (4, day(4, 12)), (5, day(4, 13)), (6, day(6, 0)), (7, day(8, 0)), (8, None)]
+    df = spark.createDataFrame(rows, "v int, t string").select("v", F.col("t").cast("timestamp").alias("at"))
+    got = sorted((x.v, x.run) for x in incremental.file_runs(df, "at", str(tmp_path / "a")).collect())
+    # The middle is noon of day 4: that day's file changes, so all of it is processed again.
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 2), (8, 1)]
+    m = incremental.FileManifest(spark, str(tmp_path / "a" / "state"))
+    assert len(m._committed()) == 2 and m.read().count() == 11  # both versions of the changed file are stored
+    assert incremental.file_runs(df.limit(0), "at", str(tmp_path / "b")) is None
+    assert sorted((x.v, x.run) for x in incremental.file_runs(df.where("v in (2, 8)"), "at", str(tmp_path / "c")).collect()) == [(2, 1), (2, 1), (8, 1)]
+
+
 def test_pending_offsets_cases(spark):
     wire = "k".ljust(32, "\0")
     rec = [("s", "k", 0, 1, '{"a":1,"b":2}', None, day(1)), ("s", wire, 0, 2, '{"b": 2, "a": 1}', None, day(9)), ("s", "k", 1, 1, '{"a":1}', None, day(1)), ("s", "k", 1, 2, '{"a":2}', None, day(9)), ("s", "k", 2, 1, '{"a":3}', None, day(1)), ("s", "k", 2, 1, '{"a":3}', None, day(1)),
