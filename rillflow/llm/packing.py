@@ -73,7 +73,8 @@ def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     """Containers that any packing needs, by the best of three families of dual feasible functions.
 
     Each function maps sizes so that what fits into one container still sums to at most one; so the mapped total, rounded
-    up, is a bound. All arithmetic is on whole numbers. sizes: distinct, from 1 to the capacity.
+    up, is a bound. The two families with a threshold are evaluated at each distinct one: the sizes up to half the capacity,
+    and what the larger ones leave. All arithmetic is on whole numbers. sizes: distinct, from 1 to the capacity.
     """
     if not len(sizes):
         return 0
@@ -86,14 +87,22 @@ def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
         best = max(best, -(-value // (k * capacity)))
     edges = np.unique(np.concatenate([x[2 * x <= capacity], capacity - x[2 * x > capacity]]))
     edges = edges[(edges > 0) & (2 * edges <= capacity)]
-    if len(edges) > 400:
-        edges = edges[np.linspace(0, len(edges) - 1, 400).astype(int)]
-    for e in edges.tolist():
-        rounded = np.where(x > capacity - e, capacity, np.where(x >= e, x, 0))  # small ones to nothing, large ones to a container
-        best = max(best, -(-int((rounded * n).sum()) // capacity))
-        slots = capacity // e  # how often e fits
-        value = np.where(2 * x > capacity, slots - (capacity - x) // e, np.where(x >= e, 1, 0))
-        best = max(best, -(-int((value * n).sum()) // slots))
+    if not len(edges):
+        return int(best)
+    order = np.argsort(x)
+    x, n = x[order], n[order]
+    number, total = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(x * n))
+    low, high = np.searchsorted(x, edges), np.searchsorted(x, capacity - edges, "right")
+    rounded = capacity * (number[-1] - number[high]) + total[high] - total[low]  # small ones to nothing, large ones to a container
+    best = max(best, -(-int(rounded.max()) // capacity))
+    half = np.searchsorted(x, capacity // 2, "right")
+    left, n_left = capacity - x[half:], n[half:]
+    slots = capacity // edges  # how often the threshold fits
+    value = slots * n_left.sum() + number[half] - number[low]
+    step = max(1, (1 << 20) // max(1, len(left)))
+    for k in range(0, len(edges), step):
+        value[k : k + step] -= (left[None, :] // edges[k : k + step, None]) @ n_left
+    best = max(best, int((-(-value // slots)).max()))
     return int(best)
 
 

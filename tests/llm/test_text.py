@@ -133,6 +133,31 @@ def test_best_fit_and_bounds():
     assert packing.lower_bound(np.array([], int), np.array([], int), 10) == 0
 
 
+def test_bound_of_every_threshold():
+    def plain(x, n, cap):
+        best = -(-sum(a * b for a, b in zip(x, n)) // cap)
+        for k in range(1, 25):
+            best = max(best, -(-sum(b * (k * a if (k + 1) * a % cap == 0 else (k + 1) * a // cap * cap) for a, b in zip(x, n)) // (k * cap)))
+        for e in {min(a, cap - a) for a in x} - {0}:
+            slots = cap // e
+            best = max(best, -(-sum(b * (cap if a > cap - e else a if a >= e else 0) for a, b in zip(x, n)) // cap))
+            best = max(best, -(-sum(b * (slots - (cap - a) // e if 2 * a > cap else a >= e) for a, b in zip(x, n)) // slots))
+        return best
+
+    r = np.random.default_rng(4)
+    for cap, top in ((10, 10), (37, 37), (1024, 1024), (2000, 900), (4096, 4096)):
+        for _ in range(4):
+            x = r.permutation(np.arange(1, top + 1))[: r.integers(1, 900)]
+            n = r.integers(1, 5, len(x))
+            assert packing.lower_bound(x, n, cap) == plain(x.tolist(), n.tolist(), cap)
+    for one in (501, 502, 503):  # the best threshold is a single one of 900: pairs of `one` and the size that just doesn't fit beside it
+        x = np.arange(1, 901)
+        n = np.ones(900, int)
+        n[one - 1] = 3000
+        x, n = np.append(x, 2001 - one), np.append(n, 3000)
+        assert packing.lower_bound(x, n, 2000) == plain(x.tolist(), n.tolist(), 2000)
+
+
 def test_bound_never_exceeds_the_optimum():
     def optimum(sizes, cap):
         best = [len(sizes)]
