@@ -152,20 +152,43 @@ def stream_timed_window(df: DataFrame, key: str, timestamp: str, size: str, slid
     return df.withWatermark(timestamp, lateness).groupBy(key, w).agg(*[c.alias(n) for n, c in values.items()])
 
 
-def push(df: DataFrame, sub, key: str, on_taken: Callable[[DataFrame], None], now_ms: Callable[[], int], checkpoint: str):
+def push(df: DataFrame, sub, key: str, on_taken: Callable[[DataFrame], None], now_ms: Callable[[], int], checkpoint: str, stored: str | None = None):
     """Drive a subscription by a stream that has `_offset`: each micro-batch raises the ends of its keys, then every client
-    with open demand gets its records through `on_taken(DataFrame)` (with a column `client`)."""
-
-    def each(batch: DataFrame, _: int) -> None:
+    with open demand gets its records through `on_taken(DataFrame)` (with a column `client`).
+
+    Offsets that are handed out again (after an expiry, or a restart) may be of earlier micro-batches, so each micro-batch is
+    stored under `stored` (else a folder of the checkpoint) by its number, and overwritten if it is tried again. Nothing is
+    deleted there. Raises if a record handed out isn't stored."""
+    stored = stored or f"{checkpoint}/records"
+
+    def again(batch: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+        # Records of all micro-batches up to this one; of an offset sent several times the newest.
+        found = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("__batch", T.LongType())])).parquet(stored)
+        found = found.join(F.broadcast(wanted), (F.col(key).cast("string") == F.col("k")) & (F.col("_offset") == F.col("o")))
+        found = found.groupBy("k", "o").agg(F.max_by(F.struct(*batch.columns), "__batch").alias("r")).select("r.*").persist()
+        if found.count() < n:
+            found.unpersist()
+            raise RuntimeError(f"{stored} lacks records that the subscription handed out")
+        return found
+
+    def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            for r in batch.groupBy(F.col(key).cast("string").alias("k")).agg(F.max("_offset").alias("e")).toLocalIterator():
+            batch.write.mode("overwrite").parquet(f"{stored}/__batch={number}")
+            first = {}
+            for r in batch.groupBy(F.col(key).cast("string").alias("k")).agg(F.min("_offset").alias("b"), F.max("_offset").alias("e")).toLocalIterator():
                 sub.produced(r.k, r.e)
+                first[r.k] = r.b
             for client in sorted(sub.demand):
                 taken = sub.deliver(client, now_ms())
                 if taken:
                     wanted = batch.sparkSession.createDataFrame(taken, "k string, o bigint")
-                    on_taken(batch.join(wanted, (F.col(key).cast("string") == F.col("k")) & (F.col("_offset") == F.col("o")), "left_semi").withColumn("client", F.lit(client)))
+                    if all(k in first and o >= first[k] for k, o in taken):
+                        on_taken(batch.join(wanted, (F.col(key).cast("string") == F.col("k")) & (F.col("_offset") == F.col("o")), "left_semi").withColumn("client", F.lit(client)))
+                    else:
+                        found = again(batch, wanted, len(taken))
+                        on_taken(found.withColumn("client", F.lit(client)))
+                        found.unpersist()
             sub.save()
         finally:
             batch.unpersist()

@@ -299,3 +299,30 @@ def test_push_delivery_and_timed_windows(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("timed").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.id, r.n) for r in spark.table("timed").collect()) == [("a", 2), ("a", 2), ("b", 1)]
+
+
+def test_push_delivers_again_after_expiry(spark, tmp_path):
+    from rillflow.streaming import stateful as S
+    from rillflow.subscription import Subscription
+
+    def put(rows):
+        spark.createDataFrame(rows, "id string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def push(sub, now):
+        taken = []
+        source = spark.readStream.schema("id string, n int").parquet(str(tmp_path / "in"))
+        S.push(S.stream_offsets(source, "id", ["n"]), sub, "id", lambda df: taken.extend((r.id, r._offset, r.n) for r in df.collect()), lambda: now, str(tmp_path / "c")).awaitTermination(120)
+        return sorted(taken)
+
+    sub = Subscription("s", 500, tmp_path / "cursor.json")
+    put([("a", 0), ("a", 1), ("b", 9)])
+    sub.take(1, 3, 0)
+    assert push(sub, 0) == [("a", 0, 0), ("a", 1, 1), ("b", 0, 9)]
+    sub.acknowledge("b", 0, 0)
+    assert sub.expire(600) == ["a"]
+    put([("c", 5)])  # the later micro-batch has no record of a
+    assert push(sub, 600) == [("a", 0, 0), ("c", 0, 5)]  # two came back; the smaller backlog goes first
+    put([("a", 2)])
+    again = Subscription("s", 500, tmp_path / "cursor.json")  # after a restart, what wasn't acknowledged comes again
+    again.demand[1] = 9
+    assert push(again, 3000) == [("a", 0, 0), ("a", 1, 1), ("a", 2, 2), ("c", 0, 5)]
