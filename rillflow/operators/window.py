@@ -29,8 +29,12 @@ def apply_count_window(df: DataFrame, key: str, fields: list[str], size: int, sl
 
     Open windows are there with what they hold. A group is never larger than the window, so no key gathers in one task;
     tumbling windows copy nothing, sliding ones copy a record once for each window that holds it. Null fields stay null.
+    The stretch is that of the newest record, so it rises with the window number whatever orders the log; a log without
+    stretches gets them from its time.
     """
     slide = slide or size
+    if "_stretch" not in df.columns:
+        df = df.withColumn("_stretch", stretch_of(seconds=stretch_s))
     low, high = window_ids(F.col("_offset"), size, slide, closed_end)
     if slide == size and not closed_end:
         placed = df.withColumn("__w", high)
@@ -38,7 +42,7 @@ def apply_count_window(df: DataFrame, key: str, fields: list[str], size: int, sl
         placed = df.where(low <= high).withColumn("__w", F.explode(F.sequence(low, high)))
     rest = [c for c in fields if c != key]
     record = F.struct("_offset", *[F.col(c) for c in fields])
-    out = placed.groupBy(key, "__w").agg(F.sort_array(F.collect_list(record)).alias("records"), F.max("_timestamp").alias("_timestamp"))
+    out = placed.groupBy(key, "__w").agg(F.sort_array(F.collect_list(record)).alias("records"), F.max("_timestamp").alias("_timestamp"), F.max("_stretch").alias("_stretch"))
     newest = F.element_at("records", -1)
     span = size + 1 if closed_end else size
     return out.select(
@@ -51,7 +55,8 @@ def apply_count_window(df: DataFrame, key: str, fields: list[str], size: int, sl
         F.col("records")[0]["_offset"].alias("first_offset"),
         newest["_offset"].alias("last_offset"),
         "records",
-    ).withColumn("_stretch", stretch_of(seconds=stretch_s))
+        "_stretch",
+    )
 
 
 def apply_timed_window(df: DataFrame, key: str, size_us: int, slide_us: int, values: dict[str, Column]) -> DataFrame:

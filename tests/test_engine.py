@@ -202,6 +202,40 @@ def test_hot_sources_run_in_stretches(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
 
 
+def test_hot_windows_of_an_order_without_time(spark):
+    r = random.Random(6)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.randrange(6000)), i, r.choice((None, r.randrange(100)))) for k, i in itertools.product("ab", range(60))]
+    df = spark.createDataFrame(rows, "id string, t timestamp_ntz, n int, data int")
+    config = '''
+[schema.r]
+id = "string"
+n = "int32"
+data = "int32"
+[streams.r]
+schema = "r"
+partition_key = "id"
+[streams.w]
+type = "window"
+schema = "r"
+partition_key = "id"
+base = "r"
+window = { type = "count", interval = "4", slide = "2" }
+'''
+    steps = ("sum", "last", "first", "count")
+    config += "".join(f'[streams.{s}]\ntype = "reduce"\nschema = "r"\npartition_key = "id"\nbase = "w"\nfn = "{s}"\n' for s in steps)
+    got = []
+    for hot_rows in (1000, 10):
+        e = Engine(spark, hot_rows=hot_rows)
+        for s in steps:
+            e.register_udf(s, Fold({"data": s}))
+        e.apply_config(config)
+        e.bind_source("r", df, ["n"], "t")
+        got.append({s: values(e.stream(s), "id", "_offset", "data") for s in steps})
+    assert e.is_hot("sum") and got[0] == got[1]
+    e.bind_source("r", df, ["t", "n"])  # a time that leads the order still spreads the key
+    assert e.log("w").select("_stretch").distinct().count() > 15
+
+
 def test_key_filter_reaches_the_scan(spark, sf):
     from rillflow.plans.catalogue import engine
 
