@@ -226,6 +226,16 @@ def _source_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("r.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("r.data").alias("total"))
 
 
+_JSON_NUMBERS = ("data", "i", "level_mm", "position", "seq")
+
+
+def _source_json_streams(spark: SparkSession, d: str) -> DataFrame:
+    schema = ", ".join([*(f"{c} string" for c in ("id", "meter_no", "device_id", "other_data", "some_data")), *(f"{c} bigint" for c in _JSON_NUMBERS)])
+    rows = table(spark, d, "produced_record").where("partition_id is not null").select("stream_name", F.from_json("data", schema).alias("r"))
+    texts = [F.count(f"r.{c}").alias(f"n_{c}") for c in ("other_data", "some_data")]
+    return rows.groupBy("stream_name", F.coalesce("r.id", "r.meter_no", "r.device_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), *texts, *[F.sum(f"r.{c}").alias(f"total_{c}") for c in _JSON_NUMBERS])
+
+
 def _rekeyed_log(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "produced_record").where("partition_id is not null and record_offset is not null")
     newest = rows.groupBy("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset").agg(F.max("write_no").alias("write_no"))
@@ -253,6 +263,7 @@ MIDDLE = "2024-01-15 00:00:00"
 QUERIES = {
     "offsets": _log("events"),
     "source_json": _source_json,
+    "source_json_streams": _source_json_streams,
     "source_log_latest": _rekeyed_log,
     "map_double": _log("doubled"),
     "map_arrow_udf": _log("doubled_arrow"),
@@ -306,6 +317,9 @@ def _join_sql(kinds: tuple[str, ...], columns: str) -> str:
 ORACLE = {
     "offsets": f"with {_LOG} select " + _COLS.format(c="c"),
     "source_json": "select data ->> '$.id' as id, count(*) as n, cast(sum(cast(data ->> '$.data' as bigint)) as bigint) as total from produced_record where stream_name = 'reading' and partition_id is not null group by 1",
+    "source_json_streams": "select stream_name, coalesce(data ->> '$.id', data ->> '$.meter_no', data ->> '$.device_id') as id, count(*) as n, count(data ->> '$.other_data') as n_other_data, count(data ->> '$.some_data') as n_some_data, "
+    + ", ".join(f"cast(sum(cast(data ->> '$.{c}' as bigint)) as bigint) as total_{c}" for c in _JSON_NUMBERS)
+    + " from produced_record where partition_id is not null group by 1, 2",
     "source_log_latest": "select stream_name, k as partition_id, record_offset, write_no from (select stream_name, rtrim(partition_id, chr(0)) as k, record_offset, max(write_no) as write_no, row_number() over (partition by stream_name, rtrim(partition_id, chr(0)) order by record_offset desc) as n from produced_record where partition_id is not null and record_offset is not null group by 1, 2, 3) where n = 1",
     "map_double": f"with {_LOG} select " + _COLS.format(c="c * 2"),
     "map_arrow_udf": f"with {_LOG} select " + _COLS.format(c="c * 2"),
