@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
+import json
 
 from pyspark.sql import types as T
 
@@ -15,27 +14,33 @@ from rillflow.types import parse_tag, struct_type
 class Topography:
     """Applying the same configuration again changes nothing; another definition under a taken name is refused, as a whole.
 
-    With `path`, every accepted configuration is appended as one JSON line and read back by the next Topography there.
+    With `path` (read and written through `files`, so it may lie in any store), every accepted configuration and every drop
+    is one JSON line there, and the next Topography on it has them again.
     """
 
-    def __init__(self, path: str | os.PathLike | None = None):
+    def __init__(self, path: str | None = None, files=None):
         self.config = C.Configuration()
-        self.path = Path(path) if path else None
-        if self.path and self.path.exists():
-            import json
-
-            for line in self.path.read_text().splitlines():
-                if line.strip():
-                    self._merge(C.parse(json.loads(line)["toml"]))
+        self.path, self.files = path, files
+        self._lines: list[str] = []
+        if path and files.exists(path):
+            self._lines = [x for x in files.read(path).splitlines() if x.strip()]
+            for unit in map(json.loads, self._lines):
+                if "drop" in unit:
+                    self._drop(unit["drop"])
+                else:
+                    self._merge(C.parse(unit["toml"]))
+
+    def _keep(self, unit: dict) -> None:
+        if self.path:
+            self._lines.append(json.dumps(unit))
+            self.files.replace(self.path, "\n".join(self._lines) + "\n")
 
     def apply(self, toml: str) -> list[str]:
         """Merge a configuration; gives the names of the streams it added."""
+        before = self.to_toml()
         added = self._merge(new := C.parse(toml))
-        if self.path and (added or new.schemas or new.storage):
-            import json
-
-            with self.path.open("a") as f:
-                f.write(json.dumps({"toml": C.dump(new)}) + "\n")
+        if self.to_toml() != before:
+            self._keep({"toml": C.dump(new)})
         return added
 
     def _merge(self, new: C.Configuration) -> list[str]:
@@ -115,11 +120,15 @@ class Topography:
         return [s.name for s in self.config.streams.values() if name in s.inputs]
 
     def drop_stream(self, name: str) -> None:
-        """Forget a stream (of this object, not of the file). Refused while others are derived from it."""
+        """Forget a stream. Refused while others are derived from it."""
         self.stream(name)
         if used := self.children(name):
             raise ConfigurationError(f"stream {name!r} is the base of {used}")
-        del self.config.streams[name]
+        self._drop(name)
+        self._keep({"drop": name})
+
+    def _drop(self, name: str) -> None:
+        self.config = C.Configuration({k: v for k, v in self.config.streams.items() if k != name}, self.config.schemas, self.config.storage)
 
     def to_toml(self) -> str:
         return C.dump(self.config)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from rillflow.errors import ConfigurationError, JoinError, WindowError
 
 KINDS = ("map", "reduce", "join", "window")
-RESERVED = ("_offset", "_timestamp", "_stretch")
+RESERVED = ("_offset", "_timestamp", "_arrival", "_stretch", "bucket", "commit")
 _UNIT_US = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 

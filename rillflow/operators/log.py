@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.errors import SourceError
-from rillflow.operators.scan import Running, running
+from rillflow.operators.scan import Running, ranged, running
 from rillflow.types import conform
 
 STRETCH_S = 7 * 86_400
@@ -28,8 +28,8 @@ def as_log(df: DataFrame, fields: dict[str, str], key: str, order_by: list[str],
     Offsets count from 0 without holes, in the order of `order_by` (nulls first); rows that tie are ordered by a hash of their
     declared fields, and rows equal in all of these are records of their own. Rows with a null key belong to no partition
     and are left out. Columns that aren't declared are left out, whatever their names. `_timestamp` is `timestamp`, else the first
-    ordering column if that is a date or time, else null. With `stretched`, a key is cut into stretches of that time where it leads
-    the order; without, each key is one window.
+    ordering column if that is a date or time, else null; `_arrival` is the same. With `stretched`, a key is cut into stretches: of that
+    time where it leads the order, else of the range-sorted rows; without, each key is one window.
     """
     if missing := {*fields, *order_by, *([timestamp] if timestamp else [])} - set(df.columns):
         raise SourceError(f"the source lacks {sorted(missing)}")
@@ -44,5 +44,7 @@ def as_log(df: DataFrame, fields: dict[str, str], key: str, order_by: list[str],
     leads = stretched and bool(order_by) and at == order_by[0]
     stamped = stamped.withColumn("_stretch", stretch_of(seconds=stretch_s) if leads else F.lit(0).cast("bigint")).withColumn("__tie", F.xxhash64(*sorted(fields)))
     order = [*[f"__o{i}" for i in range(len(order_by))], "__tie"]
-    out = running(stamped, [key], order, [Running("__n", "count", F.lit(1))], "_stretch" if leads else None)
-    return out.select(*sorted(fields), (F.col("__n") - 1).alias("_offset"), "_timestamp", "_stretch")
+    if stretched and not leads:
+        stamped = ranged(stamped, key, order)
+    out = running(stamped, [key], order, [Running("__n", "count", F.lit(1))], "_stretch" if stretched else None)
+    return out.select(*sorted(fields), (F.col("__n") - 1).alias("_offset"), "_timestamp", F.col("_timestamp").alias("_arrival"), "_stretch")

@@ -14,7 +14,7 @@ from rillflow.errors import RillError
 from rillflow.types import conform
 from rillflow.udf import ArrowMap, ColumnMap
 
-SYSTEM = ("_offset", "_timestamp", "_stretch")
+SYSTEM = ("_offset", "_timestamp", "_arrival", "_stretch")
 
 
 def apply_map(df: DataFrame, fn: ColumnMap | ArrowMap, fields: dict[str, str]) -> DataFrame:

@@ -37,11 +37,3 @@ def lookup(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def _pick(df: DataFrame, key: str, choose) -> DataFrame:
     return df.groupBy(F.col(key).alias("__key")).agg(choose(F.struct(*df.columns), "_offset").alias("r")).select("r.*")
 
-
-def take_first(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n records a new subscription would get: keys by ascending backlog (then by key), each from offset 0.
-
-    A top-n (kept per task, then merged), not a sort of everything.
-    """
-    backlog = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__backlog"))
-    return df.join(backlog, F.col(key) == F.col("__key")).orderBy("__backlog", key, "_offset").limit(n).drop("__key", "__backlog")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillflow.runtime import cut_lineage
+
 
 @dataclass(frozen=True)
 class Running:
@@ -47,6 +49,14 @@ def _combine(op: str, before: Column, here: Column) -> Column:
     return {"min": lambda: F.least(before, here), "max": lambda: F.greatest(before, here), "last": lambda: F.coalesce(here, before), "first": lambda: F.coalesce(before, here)}[op]()
 
 
+def ranged(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`df` with a column `_stretch` that rises with the order of each key, whatever the order is: the number of the partition it falls
+    into when the whole is range-sorted by key and order. Rows that tie in all of these share a stretch. The rows are checkpointed,
+    since their partitions must stay as they are."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.drop("_stretch").repartitionByRange(tasks, key, *order).withColumn("_stretch", F.spark_partition_id().cast("bigint")))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], values: list[Running], stretch: str | None = "_stretch") -> DataFrame:
     """`df` with a column per running value, the row itself included, in the order of `order` per key.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.engine import Engine
 from rillflow.functions.keys import plain_key
 from rillflow.operators import query
-from rillflow.operators.intervals import periods_and_gaps
+from rillflow.runtime import ensure_checkpoint_dir
 from rillflow.sources.tables import table
+from rillflow.subscription import Subscriptions
 from rillflow.udf import ArrowMap, ColumnMap, Fold, PyFold
 
 EVENT_TYPES = ("view", "click", "purchase")
@@ -177,16 +180,18 @@ def _sum(prev: dict, curr: dict) -> dict:
     return {**curr, "cents": (prev["cents"] or 0) + (curr["cents"] or 0)}
 
 
-def engine(spark: SparkSession, d: str) -> Engine:
-    """The engine with the streams above over the tables of a folder."""
-    e = Engine(spark)
+def _functions(e: Engine) -> None:
     e.register_udf("double", ColumnMap(lambda c: {"cents": c["cents"] * 2}))
     e.register_udf("double_arrow", ArrowMap(_double_arrow))
     for s in STEPS:
         e.register_udf(s, Fold({"cents": s}))
     e.register_udf("udf_fold", PyFold(_sum))
-    e.apply_config(CONFIG)
-    events = table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+
+
+def engine(spark: SparkSession, d: str) -> Engine:
+    """The engine with the streams above over the tables of a folder."""
+    e = _produced(spark)
+    events = _events(spark, d)
     e.bind_source("events", events, ["ts", "event_id"])
     for kind in EVENT_TYPES:
         e.bind_source(f"{kind}s", events.where(F.col("event_type") == kind), ["ts", "event_id"])
@@ -214,26 +219,99 @@ def _window(name: str):
 
 def _timed(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        w = engine(spark, d).stream(name)
-        total = F.aggregate("records", F.lit(0).cast("bigint"), lambda a, r: a + r["cents"])
-        return w.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", total.alias("cents"))
+        w = engine(spark, d).stream(name, values={"cents": F.sum("cents")})
+        return w.select("user_id", F.col("_offset").alias("window_no"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "cents")
 
     return run
 
 
-def _source_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "produced_record").where("stream_name = 'reading' and partition_id is not null").select(F.from_json("data", "id string, data bigint").alias("r"))
-    return rows.groupBy(F.col("r.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("r.data").alias("total"))
+def _timed_records(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).window_records("window_timed_2h_1h").select("user_id", "event_id", "_offset", "_window")
 
 
 _JSON_NUMBERS = ("data", "i", "level_mm", "position", "seq")
 
 
-def _source_json_streams(spark: SparkSession, d: str) -> DataFrame:
-    schema = ", ".join([*(f"{c} string" for c in ("id", "meter_no", "device_id", "other_data", "some_data")), *(f"{c} bigint" for c in _JSON_NUMBERS)])
-    rows = table(spark, d, "produced_record").where("partition_id is not null").select("stream_name", F.from_json("data", schema).alias("r"))
-    texts = [F.count(f"r.{c}").alias(f"n_{c}") for c in ("other_data", "some_data")]
-    return rows.groupBy("stream_name", F.coalesce("r.id", "r.meter_no", "r.device_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), *texts, *[F.sum(f"r.{c}").alias(f"total_{c}") for c in _JSON_NUMBERS])
+def _source_json(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log of JSON records, produced as one stream, keyed by the stream each came from and its key."""
+    names = [*(f"{c} = \"string\"" for c in ("place", "id", "meter_no", "device_id", "other_data", "some_data", "stream_name")), *(f"{c} = \"int64\"" for c in _JSON_NUMBERS)]
+    e = Engine(spark)
+    e.apply_config("[schema.posted]\n" + "\n".join(names) + '\n[streams.posted]\nschema = "posted"\npartition_key = "place"\n')
+    rows = table(spark, d, "produced_record").where("partition_id is not null").withColumn("place", F.concat_ws("/", "stream_name", plain_key("partition_id")))
+    e.produce_json("posted", rows, "data", ["arrived_at"], "arrived_at")
+    texts = [F.count(c).alias(f"n_{c}") for c in ("other_data", "some_data")]
+    return e.stream("posted").groupBy("stream_name", F.coalesce("id", "meter_no", "device_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), *texts, *[F.sum(c).alias(f"total_{c}") for c in _JSON_NUMBERS])
+
+
+#: Ends of the batches in which events are produced.
+BATCHES = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
+
+
+def _batches(rows: DataFrame) -> list[DataFrame]:
+    edges = [F.lit(b).cast("timestamp_ntz") for b in BATCHES]
+    return [rows.where(F.col("ts") < edges[0]), rows.where((F.col("ts") >= edges[0]) & (F.col("ts") < edges[1])), rows.where(F.col("ts") >= edges[1])]
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+
+
+def _produced(spark: SparkSession) -> Engine:
+    e = Engine(spark)
+    _functions(e)
+    e.apply_config(CONFIG)
+    return e
+
+
+def _produce_append(spark: SparkSession, d: str) -> DataFrame:
+    e = _produced(spark)
+    for batch in _batches(_events(spark, d)):
+        e.produce("events", batch, ["ts", "event_id"])
+    return _sel(e.stream("reduce_sum"))
+
+
+def _produce_json_log(spark: SparkSession, d: str) -> DataFrame:
+    e = _produced(spark)
+    for batch in _batches(_events(spark, d)):
+        e.produce_json("events", batch.select("ts", "event_id", F.to_json(F.struct("user_id", "event_id", "event_type", "cents")).alias("body")), "body", ["ts", "event_id"], "ts")
+    return _sel(e.latest("doubled"))
+
+
+def _join_by_arrival(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases are produced before clicks: arrival, not the time of the events, is the order of a join."""
+    e = _produced(spark)
+    rows = _events(spark, d)
+    for kind in ("purchase", "click"):
+        e.produce(f"{kind}s", rows.where(F.col("event_type") == kind), ["ts", "event_id"], "ts")
+    return e.stream("pairs").drop("_timestamp")
+
+
+def _stored_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d)
+    e.write("doubled_total")
+    return _sel(e.latest("doubled_total"))
+
+
+def _stored_at(spark: SparkSession, d: str) -> DataFrame:
+    e = _produced(spark)
+    e.produce("events", _events(spark, d), ["ts", "event_id"], "ts")
+    return _sel(e.at("events", 7, 3))
+
+
+def _take_first(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d)
+    sub = e.subscribe("events")
+    return _sel(e.deliver(sub, sub.take(1, 500, 0)))
+
+
+def _redelivered(spark: SparkSession, d: str) -> DataFrame:
+    """300 records are taken, the first half of each key's is acknowledged, the rest comes back after the timeout."""
+    e = engine(spark, d)
+    sub = e.subscribe("events", 500)
+    taken = sub.take(1, 300, 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sub.acknowledge(taken.select("key", F.lit(0).cast("bigint").alias("first"), F.expr("n div 2 - 1").alias("last")))
+    sub.expire(500)
+    return _sel(e.deliver(sub, sub.deliver(1, 501)))
 
 
 def _rekeyed_log(spark: SparkSession, d: str) -> DataFrame:
@@ -248,11 +326,13 @@ def _lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _committed(spark: SparkSession, d: str) -> DataFrame:
-    spans = periods_and_gaps(table(spark, d, "ack_range").withColumn("offset_key", plain_key("offset_key")), ["subscription_id", "stream_name", "offset_key"], "range_start", "range_end")
-    first = spans.where("span_kind = 'period' and span_start = 0").select("subscription_id", "stream_name", "offset_key", (F.col("span_end") + 1).alias("committed"))
-    known = table(spark, d, "partition_offsets").groupBy("subscription_id", "stream_name", plain_key("partition_id").alias("offset_key")).agg(F.max("range_end").alias("range_end"))
-    out = known.join(first, ["subscription_id", "stream_name", "offset_key"], "left").withColumn("committed", F.coalesce("committed", F.lit(0)))
-    return out.select("subscription_id", "stream_name", "offset_key", "committed", F.greatest(F.col("range_end") + 1 - F.col("committed"), F.lit(0)).alias("backlog"))
+    """All stored subscriptions as one table of cursors: their logs' ends, then every acknowledged range that lies in its log."""
+    key = F.to_json(F.struct("subscription_id", "stream_name", plain_key("offset_key").alias("offset_key")))
+    sub = Subscriptions(spark, f"{ensure_checkpoint_dir(spark)}/cursors-{uuid.uuid4().hex}")
+    known = table(spark, d, "partition_offsets").withColumnRenamed("partition_id", "offset_key")
+    sub.produced(known.select(key.alias("key"), F.col("range_end").alias("end")))
+    sub.acknowledge(table(spark, d, "ack_range").select(key.alias("key"), F.col("range_start").alias("first"), F.col("range_end").alias("last")))
+    return sub.state().select(F.from_json("key", "subscription_id string, stream_name string, offset_key string").alias("k"), "committed", "backlog").select("k.*", "committed", "backlog")
 
 
 def _sel(df: DataFrame) -> DataFrame:
@@ -262,8 +342,12 @@ def _sel(df: DataFrame) -> DataFrame:
 MIDDLE = "2024-01-15 00:00:00"
 QUERIES = {
     "offsets": _log("events"),
+    "produce_append": _produce_append,
+    "produce_json_log": _produce_json_log,
+    "join_by_arrival": _join_by_arrival,
+    "stored_latest": _stored_latest,
+    "stored_at": _stored_at,
     "source_json": _source_json,
-    "source_json_streams": _source_json_streams,
     "source_log_latest": _rekeyed_log,
     "map_double": _log("doubled"),
     "map_arrow_udf": _log("doubled_arrow"),
@@ -275,9 +359,11 @@ QUERIES = {
     **{n: _window(n) for n in WINDOWS},
     "window_timed_1d": _timed("window_timed_1d"),
     "window_timed_2h_1h": _timed("window_timed_2h_1h"),
+    "window_timed_records": _timed_records,
+    "window_timed_latest": lambda s, d: engine(s, d).latest("window_timed_1d").select("user_id", F.col("_offset").alias("window_no"), "event_id", "cents", "n", "last_offset"),
     "query_latest": lambda s, d: _sel(engine(s, d).latest("events")),
     "query_latest_one": lambda s, d: _sel(engine(s, d).latest("events", 7)),
-    "query_at_3": lambda s, d: _sel(engine(s, d).stream("events").where("_offset = 3")),
+    "query_at_3": lambda s, d: _sel(query.between(engine(s, d).stream("events"), 3, 3)),
     "query_at_one": lambda s, d: _sel(engine(s, d).at("events", 7, 3)),
     "query_range": lambda s, d: _sel(query.between(engine(s, d).stream("events"), 2, 6)),
     "query_by_timestamp": lambda s, d: _sel(engine(s, d).at_timestamp("events", MIDDLE)),
@@ -285,7 +371,8 @@ QUERIES = {
     "pipeline_double_total": _log("doubled_total"),
     "pipeline_recent": lambda s, d: engine(s, d).stream("recent").select("user_id", F.col("_offset").alias("window_no"), F.size("records").cast("bigint").alias("n"), "cents"),
     "pipeline_enriched": lambda s, d: engine(s, d).stream("enriched").drop("_timestamp"),
-    "take_first_n": lambda s, d: _sel(query.take_first(engine(s, d).stream("events"), "user_id", 500)),
+    "take_first_n": _take_first,
+    "take_redelivered": _redelivered,
     "subscription_backlog": _committed,
 }
 
@@ -308,16 +395,20 @@ def _side(kind: str, place: int) -> str:
     return f"select user_id, ts, {place} as i, row_number() over (partition by user_id order by ts, event_id) - 1 as f, event_id, cast(round(value * 100) as bigint) as c from events where event_type = '{kind}'"
 
 
-def _join_sql(kinds: tuple[str, ...], columns: str) -> str:
+def _join_sql(kinds: tuple[str, ...], columns: str, order: str = "ts, i, f") -> str:
     union = " union all ".join(_side(k, i) for i, k in enumerate(kinds))
     seen = ", ".join(f"last_value(case when i = {i} then {c} end ignore nulls) over w as {k}_{n}" for i, k in enumerate(kinds) for n, c in (("id", "event_id"), ("cents", "c"), ("off", "f")))
-    return f"with u as ({union}), j as (select user_id, row_number() over w - 1 as _offset, {seen} from u window w as (partition by user_id order by ts, i, f rows between unbounded preceding and current row)) select user_id, _offset, {columns} from j"
+    return f"with u as ({union}), j as (select user_id, row_number() over w - 1 as _offset, {seen} from u window w as (partition by user_id order by {order} rows between unbounded preceding and current row)) select user_id, _offset, {columns} from j"
 
 
 ORACLE = {
     "offsets": f"with {_LOG} select " + _COLS.format(c="c"),
-    "source_json": "select data ->> '$.id' as id, count(*) as n, cast(sum(cast(data ->> '$.data' as bigint)) as bigint) as total from produced_record where stream_name = 'reading' and partition_id is not null group by 1",
-    "source_json_streams": "select stream_name, coalesce(data ->> '$.id', data ->> '$.meter_no', data ->> '$.device_id') as id, count(*) as n, count(data ->> '$.other_data') as n_other_data, count(data ->> '$.some_data') as n_some_data, "
+    "produce_append": _reduce_sql("sum(c)"),
+    "produce_json_log": f"with {_LOG} select " + _COLS.format(c="c * 2") + " qualify o = max(o) over (partition by user_id)",
+    "join_by_arrival": _join_sql(("purchase", "click"), "click_id, click_cents, purchase_id, purchase_cents", "i, f"),
+    "stored_latest": f"with {_LOG}, t as (select *, sum(2 * c) over (partition by user_id order by o rows between unbounded preceding and current row) as s, max(o) over (partition by user_id) as top from log) select user_id, event_id, cast(s as bigint) as cents, o as _offset from t where o = top",
+    "stored_at": f"with {_LOG} select " + _COLS.format(c="c") + " where o = 3 and user_id = 7",
+    "source_json": "select stream_name, coalesce(data ->> '$.id', data ->> '$.meter_no', data ->> '$.device_id') as id, count(*) as n, count(data ->> '$.other_data') as n_other_data, count(data ->> '$.some_data') as n_some_data, "
     + ", ".join(f"cast(sum(cast(data ->> '$.{c}' as bigint)) as bigint) as total_{c}" for c in _JSON_NUMBERS)
     + " from produced_record where partition_id is not null group by 1, 2",
     "source_log_latest": "select stream_name, k as partition_id, record_offset, write_no from (select stream_name, rtrim(partition_id, chr(0)) as k, record_offset, max(write_no) as write_no, row_number() over (partition by stream_name, rtrim(partition_id, chr(0)) order by record_offset desc) as n from produced_record where partition_id is not null and record_offset is not null group by 1, 2, 3) where n = 1",
@@ -338,8 +429,10 @@ with u as (select c_custkey as k, 0 as i, null as ts, c_name, null as o, null as
 select k as custkey, row_number() over w - 1 as _offset, last_value(c_name ignore nulls) over w as name, last_value(o ignore nulls) over w as orderkey, last_value(s ignore nulls) over w as status
 from u window w as (partition by k order by i, ts, o rows between unbounded preceding and current row)""",
     **{n: _window_sql(int(i), int(s or i), c) for n, (i, s, c) in WINDOWS.items()},
-    "window_timed_1d": "select user_id, date_trunc('day', ts)::timestamp as window_start, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1, 2",
-    "window_timed_2h_1h": "select user_id, (date_trunc('hour', ts) - to_hours(h))::timestamp as window_start, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events, (values (0), (1)) t(h) group by 1, 2",
+    "window_timed_1d": "select user_id, epoch_us(date_trunc('day', ts)::timestamp) // 86400000000 as window_no, date_trunc('day', ts)::timestamp as window_start, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1, 2, 3",
+    "window_timed_2h_1h": "select user_id, epoch_us(date_trunc('hour', ts)::timestamp) // 3600000000 - h as window_no, (date_trunc('hour', ts) - to_hours(h))::timestamp as window_start, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events, (values (0), (1)) t(h) group by 1, 2, 3",
+    "window_timed_records": f"with {_LOG} select user_id, event_id, o as _offset, epoch_us(date_trunc('hour', ts)::timestamp) // 3600000000 - h as _window from log, (values (0), (1)) t(h)",
+    "window_timed_latest": f"with {_LOG}, w as (select *, epoch_us(date_trunc('day', ts)::timestamp) // 86400000000 as w from log), t as (select *, max(w) over (partition by user_id) as top from w) select user_id, w as window_no, arg_max(event_id, o) as event_id, arg_max(c, o) as cents, count(*) as n, max(o) as last_offset from t where w = top group by 1, 2",
     "query_latest": f"with {_LOG} select " + _COLS.format(c="c") + " qualify o = max(o) over (partition by user_id)",
     "query_latest_one": f"with {_LOG} select " + _COLS.format(c="c") + " where user_id = 7 qualify o = max(o) over (partition by user_id)",
     "query_at_3": f"with {_LOG} select " + _COLS.format(c="c") + " where o = 3",
@@ -352,12 +445,17 @@ from u window w as (partition by k order by i, ts, o rows between unbounded prec
     "pipeline_enriched": f"""with {_LOG}, u as (select user_id, o, i from log, (values (0), (1)) t(i)),
 j as (select user_id, o, i, row_number() over (partition by user_id order by (select ts from log l where l.user_id = u.user_id and l.o = u.o), i, o) - 1 as _offset from u)
 select j.user_id, j._offset, l.event_id, l.c as cents, case when j.i = 1 then l.c * 2 else p.c * 2 end as doubled from j join log l on l.user_id = j.user_id and l.o = j.o left join log p on p.user_id = j.user_id and p.o = j.o - 1""",
-    "take_first_n": f"with {_LOG}, b as (select *, count(*) over (partition by user_id) as n from log) select user_id, event_id, c as cents, o as _offset from b order by n, user_id, o limit 500",
+    "take_first_n": f"with {_LOG}, b as (select *, count(*) over (partition by user_id) as n from log) select user_id, event_id, c as cents, o as _offset from b order by n, user_id::varchar, o limit 500",
+    "take_redelivered": f"""with {_LOG}, b as (select user_id, count(*) as n from log group by 1),
+t as (select *, greatest(0, least(n, 300 - coalesce(sum(n) over (order by n, user_id::varchar rows between unbounded preceding and 1 preceding), 0))) as t from b),
+a as (select *, t // 2 as a, sum(t - t // 2) over () as demand from t),
+g as (select *, greatest(0, least(n - a, demand - coalesce(sum(n - a) over (order by n - a, user_id::varchar rows between unbounded preceding and 1 preceding), 0))) as give from a)
+select user_id, event_id, c as cents, o as _offset from log join g using (user_id) where o >= a and o < a + give""",
     "subscription_backlog": """
-with r as (select distinct subscription_id, stream_name, rtrim(offset_key, chr(0)) as offset_key, range_start as a, range_end as b from ack_range where range_start <= range_end),
+with k as (select subscription_id, stream_name, rtrim(partition_id, chr(0)) as offset_key, max(range_end) as e from partition_offsets group by 1, 2, 3 having max(range_end) is not null),
+r as (select distinct k.*, range_start as a, range_end as b from ack_range c join k on c.subscription_id = k.subscription_id and c.stream_name = k.stream_name and rtrim(c.offset_key, chr(0)) = k.offset_key where range_start between 0 and range_end and range_end <= e),
 m as (select *, max(b) over (partition by subscription_id, stream_name, offset_key order by a, b rows between unbounded preceding and 1 preceding) as top from r),
 n as (select *, sum(case when top is null or a > top + 1 then 1 else 0 end) over (partition by subscription_id, stream_name, offset_key order by a, b) as island from m),
-p as (select subscription_id, stream_name, offset_key, max(b) + 1 as committed from n group by 1, 2, 3, island having min(a) = 0),
-k as (select subscription_id, stream_name, rtrim(partition_id, chr(0)) as offset_key, max(range_end) as e from partition_offsets group by 1, 2, 3)
+p as (select subscription_id, stream_name, offset_key, max(b) + 1 as committed from n group by 1, 2, 3, island having min(a) = 0)
 select k.subscription_id, k.stream_name, k.offset_key, coalesce(committed, 0) as committed, greatest(e + 1 - coalesce(committed, 0), 0) as backlog from k left join p using (subscription_id, stream_name, offset_key)""",
 }

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rillflow.runtime import cut_lineage
+
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 Step = Callable[[Any, list[dict]], tuple[Any, list[dict]]]
 
@@ -153,21 +155,22 @@ def stream_timed_window(df: DataFrame, key: str, timestamp: str, size: str, slid
 
 
 def push(df: DataFrame, sub, key: str, on_taken: Callable[[DataFrame], None], now_ms: Callable[[], int], checkpoint: str, stored: str | None = None):
-    """Drive a subscription by a stream that has `_offset`: each micro-batch raises the ends of its keys, then every client
+    """Drive a `Subscriptions` by a stream that has `_offset`: each micro-batch raises the ends of its keys, then every client
     with open demand gets its records through `on_taken(DataFrame)` (with a column `client`).
 
     Offsets that are handed out again (after an expiry, or a restart) may be of earlier micro-batches, so each micro-batch is
-    stored under `stored` (else a folder of the checkpoint) by its number, and overwritten if it is tried again. Nothing is
-    deleted there. Raises if a record handed out isn't stored."""
+    stored under `stored` (else a folder of the checkpoint) by its number, and overwritten if it is tried again. Its steps are
+    committed under that number too: a micro-batch tried again hands out the same records, and moves no cursor a second time.
+    Nothing is collected but sums. Raises if a record handed out isn't stored."""
     stored = stored or f"{checkpoint}/records"
 
-    def again(batch: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    def records(batch: DataFrame, taken: DataFrame) -> DataFrame:
         # Records of all micro-batches up to this one; of an offset sent several times the newest.
         found = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("__batch", T.LongType())])).parquet(stored)
-        found = found.join(F.broadcast(wanted), (F.col(key).cast("string") == F.col("k")) & (F.col("_offset") == F.col("o")))
-        found = found.groupBy("k", "o").agg(F.max_by(F.struct(*batch.columns), "__batch").alias("r")).select("r.*").persist()
-        if found.count() < n:
-            found.unpersist()
+        wanted = taken.select(F.col("key").alias("__k"), F.col("offset").alias("__o"))
+        found = found.join(wanted, (F.col(key).cast("string") == F.col("__k")) & (F.col("_offset") == F.col("__o")))
+        found = cut_lineage(found.groupBy("__k", "__o").agg(F.max_by(F.struct(*batch.columns), "__batch").alias("r")).select("r.*"))
+        if found.count() < taken.count():
             raise RuntimeError(f"{stored} lacks records that the subscription handed out")
         return found
 
@@ -175,21 +178,13 @@ def push(df: DataFrame, sub, key: str, on_taken: Callable[[DataFrame], None], no
         batch.persist()
         try:
             batch.write.mode("overwrite").parquet(f"{stored}/__batch={number}")
-            first = {}
-            for r in batch.groupBy(F.col(key).cast("string").alias("k")).agg(F.min("_offset").alias("b"), F.max("_offset").alias("e")).toLocalIterator():
-                sub.produced(r.k, r.e)
-                first[r.k] = r.b
+            sub.produced(batch.groupBy(F.col(key).cast("string").alias("key")).agg(F.max("_offset").alias("end")), f"{checkpoint}#{number}")
             for client in sorted(sub.demand):
-                taken = sub.deliver(client, now_ms())
-                if taken:
-                    wanted = batch.sparkSession.createDataFrame(taken, "k string, o bigint")
-                    if all(k in first and o >= first[k] for k, o in taken):
-                        on_taken(batch.join(wanted, (F.col(key).cast("string") == F.col("k")) & (F.col("_offset") == F.col("o")), "left_semi").withColumn("client", F.lit(client)))
-                    else:
-                        found = again(batch, wanted, len(taken))
-                        on_taken(found.withColumn("client", F.lit(client)))
-                        found.unpersist()
-            sub.save()
+                token = f"{checkpoint}#{number}#{client}"
+                if sub.demand[client] > 0 or sub._done(token):
+                    taken = sub.deliver(client, now_ms(), token)
+                    if taken.limit(1).count():
+                        on_taken(records(batch, taken).withColumn("client", F.lit(client)))
         finally:
             batch.unpersist()
 

@@ -39,7 +39,7 @@ def test_entry(spark):
 
 def test_json_of_every_stream_is_decoded(spark, sf, duck):
     got = {}
-    for r in entry.queries()["source_json_streams"](spark, sf).collect():
+    for r in entry.queries()["source_json"](spark, sf).collect():
         got[r.stream_name] = got.get(r.stream_name, 0) + r.n
         assert r.id is not None and any(v is not None for k, v in r.asDict().items() if k.startswith("total_"))
     want = duck.sql("select stream_name, count(*) from produced_record where partition_id is not null group by 1").fetchall()
