@@ -78,11 +78,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.surplus(*_deliveries(spark, d))
 
 
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same in three batches, by the time of delivery, against what earlier ones have stored."""
+    rows, *rest = _deliveries(spark, d)
+    store = dedup.DeliveryStore(spark, f"{ensure_checkpoint_dir(spark)}/deliveries-{uuid.uuid4().hex}")
+    at = [F.lit(t).cast("timestamp_ntz") for t in ("2018-02-01 00:00:00", "2018-05-01 00:00:00")]
+    t = F.col("delivered_at")
+    found = [store.add(rows.where(part), *rest, f"part{i}") for i, part in enumerate((t >= at[1], t.isNull() | (t < at[0]), (t >= at[0]) & (t < at[1])))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exactly_once(*_deliveries(spark, d)).groupBy("subscription_id", "stream_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("delivery_id").cast("bigint").alias("sum_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_report, p3_current, p4_found, p5_found, p5_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_report, p3_current, p4_found, p5_found, p5_batches, p5_kept)}
 
 _ASOF = """
 e as (select distinct lower(trim(id, ' ' || chr(9) || chr(10) || chr(13))) as k, event_id, coalesce(is_deleted, false) as gone, arrived_at from update_customer_event where trim(id) <> ''),
@@ -134,6 +144,9 @@ g as (select subscription_id, stream_name, offset_key, b + 1 as a, lead(a) over
 select subscription_id, stream_name, offset_key, 'period' as span_kind, a as span_start, b as span_end from p
 union all select subscription_id, stream_name, offset_key, 'gap', a, b from g where b is not null""",
     "p5_found": """
+select distinct delivery_id from (select delivery_id, row_number() over (partition by subscription_id, stream_name, rtrim(partition_id, chr(0)), record_offset order by delivered_at nulls last, delivery_id) as n
+  from (select distinct * from taken_record) where stream_name is not null and partition_id is not null and record_offset is not null) where n > 1""",
+    "p5_batches": """
 select distinct delivery_id from (select delivery_id, row_number() over (partition by subscription_id, stream_name, rtrim(partition_id, chr(0)), record_offset order by delivered_at nulls last, delivery_id) as n
   from (select distinct * from taken_record) where stream_name is not null and partition_id is not null and record_offset is not null) where n > 1""",
     "p5_kept": """
