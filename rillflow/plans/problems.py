@@ -29,18 +29,19 @@ def p1_file_runs(spark: SparkSession, d: str) -> DataFrame:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _key_statistics(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    rows = table(spark, d, "produced_record").select("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset", "arrived_at")
-    return skew.key_statistics(rows, ["stream_name", "partition_id"], "record_offset", "arrived_at")
+_KEY = ["stream_name", "partition_id"]
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "produced_record").select("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset", "arrived_at")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    stats, total = _key_statistics(spark, d)
-    return stats.where(F.col("n_rows") >= F.lit(0.02) * F.lit(total)).select("stream_name", "partition_id")
+    return skew.heavy_keys(_keyed(spark, d), _KEY, 0.02).select(*_KEY)
 
 
 def p2_key_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _key_statistics(spark, d)[0]
+    return skew.key_statistics(_keyed(spark, d), _KEY, "record_offset", "arrived_at")
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -54,6 +55,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("stream_name", F.date_format("at", "yyyy-MM").alias("period"), "row_id", "reason").distinct()
 
 
+def p3_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The same in two runs over what is kept per key: what arrived before a day, then the rest."""
+    refs, changes = _references(spark, d)
+    counts = references.ReferenceCounts(spark, f"{ensure_checkpoint_dir(spark)}/references-{uuid.uuid4().hex}")
+    early = F.coalesce(F.col("at") < F.lit("2018-03-01").cast("timestamp_ntz"), F.lit(True))
+    for token, part in (("first", early), ("second", ~early)):
+        counts.run(refs.where(part), changes.where(part), token)
+    return counts.orphans().select("stream_name", F.date_format("at", "yyyy-MM").alias("period"), "row_id", "reason").distinct()
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     found = references.orphans(*_references(spark, d)).withColumn("period", F.date_format("at", "yyyy-MM"))
     return found.select("stream_name", "period", "row_id", "reason").distinct().groupBy("stream_name", "period", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -92,7 +103,7 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exactly_once(*_deliveries(spark, d)).groupBy("subscription_id", "stream_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("delivery_id").cast("bigint").alias("sum_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_report, p3_current, p4_found, p5_found, p5_batches, p5_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_deltas, p3_report, p3_current, p4_found, p5_found, p5_batches, p5_kept)}
 
 _ASOF = """
 e as (select distinct lower(trim(id, ' ' || chr(9) || chr(10) || chr(13))) as k, event_id, coalesce(is_deleted, false) as gone, arrived_at from update_customer_event where trim(id) <> ''),
@@ -130,6 +141,7 @@ group by 1, 2 having count(*) >= 0.02 * (select count(*) from produced_record)""
 select stream_name, rtrim(partition_id, chr(0)) as partition_id, count(*) as n_rows, count(distinct record_offset) as n_records, min(arrived_at) as first_arrival, max(arrived_at) as last_arrival
 from produced_record where stream_name is not null and partition_id is not null group by 1, 2""",
     "p3_found": f"with {_ASOF} select distinct stream_name, period, row_id, reason from o",
+    "p3_deltas": f"with {_ASOF} select distinct stream_name, period, row_id, reason from o",
     "p3_report": f"with {_ASOF} select stream_name, period, reason, count(*) as n_rows from (select distinct * from o) group by 1, 2, 3",
     "p3_current": f"""
 with {_ASOF}, st as (select k, arg_max(gone, (arrived_at, event_id)) as gone from e where arrived_at is not null group by 1)

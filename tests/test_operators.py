@@ -103,8 +103,7 @@ def test_salted_statistics(spark):
     r = random.Random(1)
     rows = [("hot", "k", r.randrange(200), day(r.randrange(50))) for _ in range(900)] + [(f"s{i % 40}", "k", i % 3, day(1)) for i in range(300)] + [("hot", None, 1, None), (None, "k", None, None), ("s0", "k", None, None)]
     df = spark.createDataFrame(rows, "a string, b string, o bigint, t timestamp_ntz").withColumn("__salt", F.lit("x"))
-    stats, total = skew.key_statistics(df, ["a", "b"], "o", "t", 0.02, 16)
-    assert total == len(rows)
+    stats = skew.key_statistics(df, ["a", "b"], "o", "t", 0.02, 16)
     want = {}
     for a, b, o, t in rows:
         if a is not None and b is not None:
@@ -113,9 +112,16 @@ def test_salted_statistics(spark):
             w[1] |= {o} - {None}
             w[2] += [t] if t else []
     assert {(x.a, x.b): (x.n_rows, x.n_records, x.first_arrival, x.last_arrival) for x in stats.collect()} == {k: (n, len(o), min(t, default=None), max(t, default=None)) for k, (n, o, t) in want.items()}
-    heavy, _ = skew.heavy_keys(df, ["a", "b"], 0.02)
-    assert heavy == [("hot", "k")]
-    assert skew.key_statistics(df.limit(0), ["a", "b"], "o", "t")[0].count() == 0
+    assert [tuple(x) for x in skew.heavy_keys(df, ["a", "b"], 0.02).collect()] == [("hot", "k", 900)]
+    assert skew.key_statistics(df.limit(0), ["a", "b"], "o", "t").count() == 0 and skew.heavy_keys(df.limit(0), ["a", "b"], 0.02).count() == 0
+
+
+def test_salts_come_from_few_files_and_counts_from_all(spark, tmp_path):
+    for i in range(20):  # the first file, which is looked at for salts, doesn't hold the heavy key
+        spark.createDataFrame([("cold" if i == 0 else "hot", j) for j in range(50)] + [(f"s{i}", 1), (None, 1)], "k string, o bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / f"{i:02d}"))
+    df = spark.read.parquet(*[str(tmp_path / f"{i:02d}") for i in range(20)]).select("k", "o")
+    assert sorted(tuple(x) for x in skew.heavy_keys(df, ["k"], 0.04).collect()) == [("cold", 50), ("hot", 950)]
+    assert 0 < len(skew.salted_keys(df, ["k"], 0.04)) <= 50
 
 
 # 3
@@ -145,6 +151,54 @@ def test_orphans_by_brute_force(spark):
     assert "missing" in now and "late" not in now
 
 
+def asof(refs, changes):
+    out = []
+    for k, at, i in refs:
+        ever = [x for x in changes if x[0] == k]
+        upto = sorted((x for x in ever if x[1] is not None and x[1] <= at), key=lambda x: (x[1], x[2]))
+        reason = "missing" if not ever else "late" if not upto else None if upto[-1][3] else "deleted"
+        if reason:
+            out.append((k, i, reason))
+    return sorted(out)
+
+
+def test_one_key_on_one_day_fills_several_tasks(spark):
+    r = random.Random(8)
+    refs = [("hot", T0 + dt.timedelta(seconds=r.randrange(86_000)), i) for i in range(3000)] + [("hot", T0, 9000 + i) for i in range(500)] + [(k, T0, 20_000) for k in "az"]
+    changes = [("hot", T0 + dt.timedelta(seconds=r.randrange(86_000)), i, r.choice((0, 1))) for i in range(400)]
+    f, c = spark.createDataFrame(refs, "key string, at timestamp_ntz, row_id bigint"), spark.createDataFrame(changes, "key string, at timestamp_ntz, ordinal bigint, alive int")
+    rows, _ = references._sorted_rows(f, c, None)
+    assert max(x[0] for x in rows.where("key = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()) < 2500
+    assert sorted((x.key, x.row_id, x.reason) for x in references.orphans(f, c).collect()) == asof(refs, changes)
+
+
+def test_delta_runs_equal_one_run(spark, tmp_path):
+    r = random.Random(12)
+    keys = [f"k{i}" for i in range(12)]
+    changes = [(r.choice(keys[:8]), T0 + dt.timedelta(hours=r.randrange(300)), i, r.choice((0, 1, 1))) for i in range(60)] + [("k9", None, 100, 1), ("k8", T0 + dt.timedelta(hours=290), 101, 1)]
+    refs = [(r.choice(keys), T0 + dt.timedelta(hours=r.randrange(300)), i) for i in range(400)]
+    mid = [T0 + dt.timedelta(hours=h) for h in (100, 200)]
+    part = lambda at: 0 if at is None or at < mid[0] else 1 if at < mid[1] else 2
+    for i in range(3):
+        counts = references.ReferenceCounts(spark, str(tmp_path / "c"))
+        f = spark.createDataFrame([x for x in refs if part(x[1]) == i], "key string, at timestamp_ntz, row_id bigint")
+        c = spark.createDataFrame([x for x in changes if part(x[1]) == i], "key string, at timestamp_ntz, ordinal bigint, alive int")
+        if i == 1:  # a run that dies before its commit
+            dead = references.ReferenceCounts(spark, str(tmp_path / "c"))
+            dead.files = type("F", (), {"put_new": lambda *a: False})()
+            with pytest.raises(RuntimeError):
+                dead.run(f, c, "1")
+        counts.run(f, c, str(i))
+        counts.run(f, c, str(i))
+    assert sorted((x.key, x.row_id, x.reason) for x in counts.orphans().collect()) == asof(refs, changes)
+    want = {}
+    for k, at, i, alive in sorted((x for x in changes if x[1] is not None), key=lambda x: (x[1], x[2])):
+        want[k] = alive
+    held = {x.key: (x.n_refs, x.existing) for x in counts.counts().collect()}
+    assert all(held[k][1] == v for k, v in want.items()) and all(held[k][0] == sum(x[0] == k for x in refs) for k in held)
+    assert {x.key for x in counts.current().collect()} == {k for k in {x[0] for x in refs} if not want.get(k, 0)}
+
+
 # 4
 def spans(rows):
     out = set()
