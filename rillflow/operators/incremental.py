@@ -1,111 +1,112 @@
 """Processing only new or changed records.
 
 Two layers share one rule, the anti-join of a *listing* (what exists now: identity, size, checksum) against a
-*manifest* (what a successful run has covered: identity, size, checksum):
-
-* `FileManifest` does it for input files. A run lists the files, anti-joins the manifest, writes its output into a
-  directory named by a batch identifier (overwritten when the same batch is tried again) and only then commits a
-  manifest entry by renaming it into place. A run that dies before the commit leaves nothing a reader sees.
-* `file_runs` drives it over a whole table: a first run, a change of the files, a second run, and one with nothing to do.
-* `pending_offsets` does it for the records of a keyed log, per subscription.
+*manifest* (what a successful run has covered: identity, size, checksum). What is pending is written into a directory named by a
+batch identifier (overwritten when the same batch is tried again), and only then is the manifest committed, by a file that
+only one run can create. A run that dies before the commit leaves nothing a reader sees.
+
+* `FileManifest` does it for input files; `file_runs` drives it over a whole table: a first run, a change of the files, a second run, and
+  one with nothing to do.
+* `RecordManifest` does it for the records of a keyed log, per subscription; `offset_listing` says what is there and what the
+  subscriptions' own reports cover.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillflow.files import Files
 from rillflow.functions.keys import json_content, plain_key, state_name
+from rillflow.runtime import cut_lineage
 
-LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("checksum", T.StringType())])
+LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType()), T.StructField("listed", T.LongType()), T.StructField("checksum", T.StringType())])
+#: A file that changed less than this before it was listed may change again under the same time: it is hashed at the next listing too.
+RACY_MS = 2_000
+#: Manifest files that are read one by one, before they are put together.
+SNAPSHOT = 50
 ENTRY = T.StructType([*LISTING.fields, T.StructField("batch_id", T.StringType()), T.StructField("seq", T.LongType())])
 
 
 def pending(listing: DataFrame, manifest: DataFrame, identity: list[str]) -> DataFrame:
     """Rows of the listing whose identity, size and checksum the manifest doesn't hold.
 
-    Nulls compare as equal values. Repeated listing rows come out once. Other columns of the listing are kept.
+    Nulls compare as equal values. Rows repeated in these come out once. Other columns of the listing are kept.
     """
     held = manifest.select(*[F.col(c).alias(f"__m_{c}") for c in (*identity, "size", "checksum")]).distinct()
     on = None
     for c in (*identity, "size", "checksum"):
         same = F.col(c).eqNullSafe(F.col(f"__m_{c}"))
         on = same if on is None else on & same
-    return listing.distinct().join(held, on, "left_anti")
+    return listing.dropDuplicates([*identity, "size", "checksum"]).join(held, on, "left_anti")
 
 
 class FileManifest:
     """Manifest of processed input files under `root`, with output batches beside it.
 
     `run(listing, process)` calls `process(paths) -> DataFrame` with the new and changed files only. Layout:
-    ``root/out/batch_id=.../`` (written first, idempotently) and ``root/manifest/<seq>.json`` (committed last, by a
-    rename that must not find the name taken: on HDFS it is atomic, so of two runs racing for a number one commits). Empty listings commit nothing.
+    ``root/out/batch_id=.../`` (written first, idempotently), ``root/manifest/<seq>.json`` (committed last) and
+    ``root/snapshots/<seq>`` (the entries of all commits before it, put together). Empty listings commit nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.commons.io.IOUtils
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def listing(self, paths: list[str]) -> DataFrame:
-        """Size and checksum of each data file below the paths; hashed on the executors, in blocks, never whole in memory."""
-        files: list[str] = []
-        for p in paths:
-            at = self._path(p)
-            it = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(at, True)
-            while it.hasNext():
-                f = it.next().getPath()
-                if not f.getName().startswith(("_", ".")):
-                    files.append(f.toString())
+        """Size, time of change and checksum of each data file below the paths. Only files whose path, size and time the manifest doesn't
+        hold are read; these are hashed on the executors, in blocks, never whole in memory."""
+        now = int(time.time() * 1000)
+        found = [(*f, now) for p in paths for f in self.files.data_files(p)]
         spark = self.spark
-        if not files:
+        if not found:
             return spark.createDataFrame([], LISTING)
-        n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
-        return spark.createDataFrame([(f,) for f in files], "path string").repartition(n).mapInArrow(_hash_files, LISTING)
+        there = spark.createDataFrame(found, "path string, size bigint, mtime bigint, listed bigint")
+        held = self.entries().where(F.col("mtime") < F.col("listed") - RACY_MS).select("path", "size", "mtime", "checksum")
+        both = there.join(held, ["path", "size", "mtime"], "left").select(*LISTING.names)
+        n = max(1, min(len(found), spark.sparkContext.defaultParallelism * 4))
+        return cut_lineage(both.where("checksum is not null").unionByName(both.where("checksum is null").repartition(n).mapInArrow(_hash_files, LISTING)))
 
     def entries(self) -> DataFrame:
         """The entry in force for each file: its newest commit."""
         done = self._committed()
         if not done:
             return self.spark.createDataFrame([], ENTRY)
-        rows = self.spark.read.schema(ENTRY).json([f"{self.root}/manifest/{n}" for n in done])
-        return rows.groupBy("path").agg(F.max_by(F.struct("size", "checksum", "batch_id", "seq"), "seq").alias("e")).select("path", "e.*")
+        start = max((i for i, n in enumerate(done) if self.files.exists(f"{self.root}/snapshots/{n[:-5]}/_SUCCESS")), default=0)
+        rows = self.spark.read.schema(ENTRY).json([f"{self.root}/manifest/{n}" for n in done[start:]])
+        if start:
+            rows = rows.unionByName(self.spark.read.schema(ENTRY).parquet(f"{self.root}/snapshots/{done[start][:-5]}"))
+        return rows.groupBy("path").agg(F.max_by(F.struct(*LISTING.names[1:], "batch_id", "seq"), "seq").alias("e")).select("path", "e.*")
 
     def _committed(self) -> list[str]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/manifest"))]
-        return sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
+        return [n for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json")]
 
     def run(self, listing: DataFrame, process: Callable[[list[str]], DataFrame]) -> str | None:
         """Process what is new or changed; the batch identifier, or None if there was nothing to do."""
-        todo = [r.asDict() for r in pending(listing, self.entries(), ["path"]).collect()]  # one row a file, not a record
+        held = self.entries()
+        todo = [r.asDict() for r in pending(listing, held, ["path"]).collect()]  # one row a file, not a record
         if not todo:
             return None
         todo.sort(key=lambda r: (r["path"], r["checksum"]))
         seq = len(self._committed())
-        batch = hashlib.sha256(json.dumps([seq, todo], sort_keys=True).encode()).hexdigest()[:16]
+        batch = hashlib.sha256(json.dumps([seq, [[r["path"], r["size"], r["checksum"]] for r in todo]]).encode()).hexdigest()[:16]
         process([r["path"] for r in todo]).write.mode("overwrite").parquet(f"{self.root}/out/batch_id={batch}")
+        if seq and seq % SNAPSHOT == 0:  # entries of the commits before; counts only once this commit is there
+            held.write.mode("overwrite").parquet(f"{self.root}/snapshots/{seq:012d}")
         self._commit(seq, batch, todo)
         return batch
 
     def _commit(self, seq: int, batch: str, todo: list[dict]) -> None:
-        temp, final = self._path(f"{self.root}/manifest/.{batch}.tmp"), self._path(f"{self.root}/manifest/{seq:012d}.json")
-        if final.getName() in self._committed():
+        text = "".join(json.dumps(r | {"batch_id": batch, "seq": seq}) + "\n" for r in todo)
+        if not self.files.put_new(f"{self.root}/manifest/{seq:012d}.json", text):
             raise RuntimeError(f"another run has committed number {seq}")
-        out = self._fs.create(temp, True)
-        out.write("".join(json.dumps(r | {"batch_id": batch, "seq": seq}) + "\n" for r in todo).encode())
-        out.close()
-        if not self._fs.rename(temp, final):
-            raise RuntimeError(f"could not commit batch {batch}")
 
     def read(self, source_file_column: str | None = None) -> DataFrame | None:
         """Rows of committed batches. With a source file column, rows of a file's older version are left out."""
@@ -127,17 +128,15 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     for batch in batches:
-        sizes, sums = [], []
+        sums = []
         for path in batch.column(0).to_pylist():
             store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-            h, n = xxhash.xxh3_128(), 0
+            h = xxhash.xxh3_128()
             with store.open_input_stream(at) as f:
                 while block := f.read(1 << 22):
                     h.update(block)
-                    n += len(block)
-            sizes.append(n)
             sums.append(h.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], names=LISTING.names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.string())], names=LISTING.names)
 
 
 _DAY_US = 86_400_000_000
@@ -192,35 +191,46 @@ def file_runs(records: DataFrame, at: str, root: str) -> DataFrame | None:
     return rows.join(F.broadcast(runs), "batch_id").select(*records.columns, "run")
 
 
-#: Offsets of a key are joined in stretches of this length, so that the largest key spreads over many tasks.
-STRETCH_BITS = 14
+#: Offsets of a key are joined in stretches of 2 ** STRETCH_BITS, so that the largest key spreads over many tasks; beyond the first
+#: 2 ** FAR_BITS offsets, each further doubling is cut into 2 ** 16 stretches, so that a wild bound opens few.
+STRETCH_BITS, FAR_BITS = 14, 34
+
+
+def stretch_of_offset(offset: str) -> Column:
+    """Number of the stretch an offset lies in; it rises with the offset."""
+    near = 1 << (FAR_BITS - STRETCH_BITS)
+    return F.expr(
+        f"case when {offset} < 0 then 0L when {offset} < {1 << FAR_BITS}L then shiftright({offset}, {STRETCH_BITS}) "
+        f"else {near}L + (length(bin({offset})) - 1 - {FAR_BITS}) * 65536L + shiftright({offset} - shiftleft(1L, length(bin({offset})) - 1), length(bin({offset})) - 17) end"
+    )
+
+
+RECORD = ("subscription_id", "stream_name", "partition_id", "record_offset")
 
 
-def pending_offsets(records: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    """(subscription_id, stream_name, partition_id, record_offset) that the next run of each subscription must process.
+def offset_listing(records: DataFrame, snapshots: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listing and manifest of the records each subscription is to process: RECORD, stretch, size, checksum.
 
-    The listing is each stored record in its newest form (size and checksum of its canonical content); the manifest is,
-    per subscription, each record up to the watermark in the form it had at the last success. Records that the manifest
-    doesn't hold in that form are pending.
+    The listing is each stored record between the subscription's first offset and its greatest reported one, in its newest
+    form (size and checksum of its canonical content). The manifest is what reports say was processed: each record up to the
+    watermark, in the newest form it had at the last success.
 
-    Rows without stream, key or offset are no records. A subscription without any snapshot has no row; one without an
-    upper bound has nothing pending; without a watermark everything is pending; without a last success, or where a
-    record came after it, the manifest has no entry, so the record is pending. Of one `write_no` stored with several contents the
-    greatest counts. Repeated rows change nothing.
+    Rows without stream, key or offset are no records. A subscription without any snapshot lists nothing, nor does one without an
+    upper bound; without a watermark, or without a last success, or where a record came after it, the manifest has no
+    entry. Of one `write_no` stored with several contents the greatest counts. Repeated rows change nothing.
 
-    Every join is on (stream, key, stretch of offsets): no task holds a whole key, however large. Both sides of the
-    listing/manifest comparison come out of one exchange, so it is decided inside the group.
+    The records are moved once, by (stream, key, stretch of offsets): no task holds a whole key, however large, and all that
+    follows, the anti-join of the two included, stays in that partitioning.
     """
     key = ["stream_name", "partition_id"]
     content = json_content("data")
     rec = (
-        records.select("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset", F.coalesce("write_no", F.lit(0)).alias("write_no"), content.alias("content"), "arrived_at")
+        records.select("stream_name", plain_key("partition_id").alias("partition_id"), "record_offset", F.coalesce("write_no", F.lit(0)).alias("write_no"), F.octet_length(content).alias("size"), F.xxhash64(content).alias("checksum"), "arrived_at")
         .where("stream_name is not null and partition_id is not null and record_offset is not null")
-        .withColumn("stretch", F.shiftright("record_offset", STRETCH_BITS))
-    )
-    versions = rec.groupBy(*key, "stretch", "record_offset", "write_no").agg(
-        F.max(F.struct(F.octet_length("content").alias("size"), F.xxhash64("content").alias("checksum"))).alias("form"), F.min("arrived_at").alias("arrived_at")
+        .withColumn("stretch", stretch_of_offset("record_offset"))
+        .repartition(*key, "stretch")
     )
+    versions = rec.groupBy(*key, "stretch", "record_offset", "write_no").agg(F.max(F.struct("size", "checksum")).alias("form"), F.min("arrived_at").alias("arrived_at"))
     held = ["subscription_id", *key]
     snap = snapshots.withColumn("partition_id", plain_key("partition_id")).groupBy(*held).agg(
         F.coalesce(F.min("first_offset"), F.lit(0)).alias("first"), F.max("range_end").alias("end_a"), F.max("committed").alias("committed"), F.max("committed_at").alias("committed_at")
@@ -236,13 +246,59 @@ def pending_offsets(records: DataFrame, snapshots: DataFrame, runs: DataFrame) -
     state = snap.join(ran, on, "left").select(
         *held, "first", F.greatest("end_a", "end_b").alias("last"), F.greatest(F.col("committed") - 1, "completed").alias("watermark"), F.greatest("committed_at", "finished_at").alias("success")
     )
-    stretches = (
-        records.select("stream_name", plain_key("partition_id").alias("partition_id"), F.shiftright("record_offset", STRETCH_BITS).alias("stretch")).where("stream_name is not null and partition_id is not null and stretch is not null").distinct()
-    )
-    wanted = state.join(stretches, key).where((F.col("stretch") >= F.shiftright("first", STRETCH_BITS)) & (F.col("stretch") <= F.shiftright("last", STRETCH_BITS)))
+    wanted = state.where("first <= last").withColumn("stretch", F.explode(F.sequence(stretch_of_offset("first"), stretch_of_offset("last"))))
     both = versions.join(wanted, [*key, "stretch"]).where(F.col("record_offset").between(F.col("first"), F.col("last")))
     covered = (F.col("record_offset") <= F.col("watermark")) & (F.col("arrived_at") <= F.col("success"))
-    forms = both.groupBy(*held, "stretch", "record_offset").agg(
-        F.max_by("form", "write_no").alias("listed"), F.max_by("form", F.when(covered, F.col("write_no"))).alias("manifested")
-    )
-    return forms.where(~F.col("listed").eqNullSafe(F.col("manifested"))).select(*held, "record_offset")
+    newest = lambda df: df.groupBy(*RECORD, "stretch").agg(F.max_by("form", "write_no").alias("form")).select(*RECORD, "stretch", "form.*")
+    return newest(both), newest(both.where(covered))
+
+
+class RecordManifest:
+    """Runs over records: what is listed and not covered is written as a batch, then the batch is committed.
+
+    ``root/out/batch_id=.../`` holds the batches, ``root/manifest/<seq>.json`` says which of them count. What committed batches hold is
+    covered, beside the manifest given to a run; of a record in several, the newest counts.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+
+    def batches(self) -> list[str]:
+        return [json.loads(self.files.read(f"{self.root}/manifest/{n}"))["batch_id"] for n in self.files.names(f"{self.root}/manifest")]
+
+    def run(self, listing: DataFrame, manifest: DataFrame) -> str | None:
+        """Write and commit what is pending; the batch's identifier, or None if nothing is.
+
+        The identifier is made of the run's number and the files the listing is read from, so a run tried again writes over what
+        it left. Of runs racing for a number one commits.
+        """
+        done = self.batches()
+        for i, b in enumerate(done):
+            rows = self.read(b).withColumn("seq", F.lit(i))
+            manifest = (manifest.withColumn("seq", F.lit(-1)) if i == 0 else manifest).unionByName(rows)
+        if done:
+            manifest = manifest.groupBy(*RECORD, "stretch").agg(F.max_by(F.struct("size", "checksum"), "seq").alias("form")).select(*RECORD, "stretch", "form.*")
+        batch = hashlib.sha256(json.dumps([len(done), sorted(listing.inputFiles())]).encode()).hexdigest()[:16]
+        at = f"{self.root}/out/batch_id={batch}"
+        co = "spark.sql.requireAllClusterKeysForCoPartition"
+        conf = self.spark.conf
+        before = conf.get(co)
+        try:
+            conf.set(co, "false")  # both sides already lie by (stream, key, stretch), a part of the identity
+            pending(listing, manifest, [*RECORD, "stretch"]).write.mode("overwrite").parquet(at)
+        finally:
+            conf.set(co, before)
+        if self.read(batch).limit(1).count() == 0:
+            self.files.delete(at)
+            return None
+        self._commit(len(done), batch)
+        return batch
+
+    def _commit(self, seq: int, batch: str) -> None:
+        if not self.files.put_new(f"{self.root}/manifest/{seq:012d}.json", json.dumps({"batch_id": batch})):
+            raise RuntimeError(f"another run has committed number {seq}")
+
+    def read(self, batch: str | None) -> DataFrame:
+        """RECORD, stretch, size and checksum of a batch (of none: no rows)."""
+        schema = "subscription_id string, stream_name string, partition_id string, record_offset bigint, stretch bigint, size int, checksum bigint"
+        return self.spark.createDataFrame([], schema) if batch is None else self.spark.read.schema(schema).parquet(f"{self.root}/out/batch_id={batch}")

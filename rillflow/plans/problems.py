@@ -13,13 +13,32 @@ from rillflow.runtime import cut_lineage, ensure_checkpoint_dir
 from rillflow.sources.tables import table
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.pending_offsets(table(spark, d, "produced_record"), table(spark, d, "partition_offsets"), table(spark, d, "key_offset"))
+    """The batch that the next run of each subscription writes and commits."""
+    manifest = incremental.RecordManifest(spark, _shared(spark, "runs"))
+    batch = manifest.run(*incremental.offset_listing(*(table(spark, d, t) for t in ("produced_record", "partition_offsets", "key_offset"))))
+    return manifest.read(batch).select(*incremental.RECORD)
+
+
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over one manifest: of the records that had arrived by a day, then of all; the second leaves out what the first has done."""
+    records, *rest = (table(spark, d, t) for t in ("produced_record", "partition_offsets", "key_offset"))
+    manifest = incremental.RecordManifest(spark, _shared(spark, "runs"))
+    early = records.where(F.col("arrived_at") <= F.lit("2018-06-01").cast("timestamp_ntz"))
+    batches = [manifest.run(*incremental.offset_listing(r, *rest)) for r in (early, records)]
+    if manifest.run(*incremental.offset_listing(records, *rest)) is not None:
+        raise RuntimeError("a run without a change found records to process")
+    first, second = (manifest.read(b).select(*incremental.RECORD, F.lit(i + 1).alias("run")) for i, b in enumerate(batches))
+    return first.unionByName(second)
 
 
 def p1_file_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "produced_record")
-    root = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    root = _shared(spark, "files")
     try:
         done = incremental.file_runs(rows, "arrived_at", root)
         found = rows.limit(0).withColumn("run", F.lit(0).cast("bigint")) if done is None else done
@@ -58,7 +77,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_deltas(spark: SparkSession, d: str) -> DataFrame:
     """The same in two runs over what is kept per key: what arrived before a day, then the rest."""
     refs, changes = _references(spark, d)
-    counts = references.ReferenceCounts(spark, f"{ensure_checkpoint_dir(spark)}/references-{uuid.uuid4().hex}")
+    counts = references.ReferenceCounts(spark, _shared(spark, "references"))
     early = F.coalesce(F.col("at") < F.lit("2018-03-01").cast("timestamp_ntz"), F.lit(True))
     for token, part in (("first", early), ("second", ~early)):
         counts.run(refs.where(part), changes.where(part), token)
@@ -92,7 +111,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_batches(spark: SparkSession, d: str) -> DataFrame:
     """The same in three batches, by the time of delivery, against what earlier ones have stored."""
     rows, *rest = _deliveries(spark, d)
-    store = dedup.DeliveryStore(spark, f"{ensure_checkpoint_dir(spark)}/deliveries-{uuid.uuid4().hex}")
+    store = dedup.DeliveryStore(spark, _shared(spark, "deliveries"))
     at = [F.lit(t).cast("timestamp_ntz") for t in ("2018-02-01 00:00:00", "2018-05-01 00:00:00")]
     t = F.col("delivered_at")
     found = [store.add(rows.where(part), *rest, f"part{i}") for i, part in enumerate((t >= at[1], t.isNull() | (t < at[0]), (t >= at[0]) & (t < at[1])))]
@@ -103,7 +122,7 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exactly_once(*_deliveries(spark, d)).groupBy("subscription_id", "stream_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("delivery_id").cast("bigint").alias("sum_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_deltas, p3_report, p3_current, p4_found, p5_found, p5_batches, p5_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_file_runs, p2_found, p2_key_statistics, p3_found, p3_deltas, p3_report, p3_current, p4_found, p5_found, p5_batches, p5_kept)}
 
 _ASOF = """
 e as (select distinct lower(trim(id, ' ' || chr(9) || chr(10) || chr(13))) as k, event_id, coalesce(is_deleted, false) as gone, arrived_at from update_customer_event where trim(id) <> ''),
@@ -114,20 +133,27 @@ j as (select a.stream_name, a.row_id, a.arrived_at, a.k, count(e.k) as ever, cou
 o as (select stream_name, strftime(arrived_at, '%Y-%m') as period, row_id, case when ever = 0 then 'missing' when seen = 0 then 'late' else 'deleted' end as reason from j where ever = 0 or seen = 0 or gone)
 """
 
-ORACLE = {
-    "p1_found": r"""
-with r as (select distinct stream_name, rtrim(partition_id, chr(0)) as k, record_offset as o, coalesce(write_no, 0) as w, arrived_at,
+
+def _listed(n: str, where: str) -> str:
+    """Listed and held content of each record in question (`l`), with `n` behind the names."""
+    return f"""r{n} as (select distinct stream_name, rtrim(partition_id, chr(0)) as k, record_offset as o, coalesce(write_no, 0) as w, arrived_at,
              list_sort(list_transform(json_keys(data), lambda f: f || ':' || json_extract(data, '$."' || f || '"')::varchar))::varchar as content
-      from produced_record where stream_name is not null and partition_id is not null and record_offset is not null),
-v as (select stream_name, k, o, w, max(content) as content, min(arrived_at) as arrived_at from r group by all),
-s as (select subscription_id, stream_name, rtrim(partition_id, chr(0)) as k, coalesce(min(first_offset), 0) as first, max(range_end) as end_a, max(committed) as committed, max(committed_at) as committed_at from partition_offsets group by 1, 2, 3),
-u as (select subscription_id, stream_name, rtrim(offset_key, chr(0)) as k, max(max_offset) as end_b,
+      from produced_record where stream_name is not null and partition_id is not null and record_offset is not null {where}),
+v{n} as (select stream_name, k, o, w, max(content) as content, min(arrived_at) as arrived_at from r{n} group by all),
+s{n} as (select subscription_id, stream_name, rtrim(partition_id, chr(0)) as k, coalesce(min(first_offset), 0) as first, max(range_end) as end_a, max(committed) as committed, max(committed_at) as committed_at from partition_offsets group by 1, 2, 3),
+u{n} as (select subscription_id, stream_name, rtrim(offset_key, chr(0)) as k, max(max_offset) as end_b,
              max(last_completed_offset) filter (where ok) as completed, max(finished_at) filter (where ok) as finished_at
       from (select *, coalesce(lower(replace(run_state, ' ', '')) = 'done' and last_completed_offset is not null, false) as ok from key_offset) group by 1, 2, 3),
-b as (select s.subscription_id, s.stream_name, s.k, first, greatest(end_a, end_b) as last, greatest(committed - 1, completed) as mark, greatest(committed_at, finished_at) as success from s left join u using (subscription_id, stream_name, k)),
-l as (select b.subscription_id, b.stream_name, b.k, v.o, arg_max(v.content, v.w) as listed, arg_max(v.content, v.w) filter (where v.o <= b.mark and v.arrived_at <= b.success) as held
-      from b join v on v.stream_name = b.stream_name and v.k = b.k and v.o between b.first and b.last group by 1, 2, 3, 4)
-select subscription_id, stream_name, k as partition_id, o as record_offset from l where listed is distinct from held""",
+b{n} as (select s{n}.subscription_id, s{n}.stream_name, s{n}.k, first, greatest(end_a, end_b) as last, greatest(committed - 1, completed) as mark, greatest(committed_at, finished_at) as success from s{n} left join u{n} using (subscription_id, stream_name, k)),
+l{n} as (select b.subscription_id, b.stream_name, b.k, v.o, arg_max(v.content, v.w) as listed, arg_max(v.content, v.w) filter (where v.o <= b.mark and v.arrived_at <= b.success) as held
+      from b{n} b join v{n} v on v.stream_name = b.stream_name and v.k = b.k and v.o between b.first and b.last group by 1, 2, 3, 4)"""
+
+
+ORACLE = {
+    "p1_found": f"with {_listed('', '')} select subscription_id, stream_name, k as partition_id, o as record_offset from l where listed is distinct from held",
+    "p1_runs": f"""with {_listed("a", "and arrived_at <= timestamp '2018-06-01'")}, {_listed("", "")}, f as (select * from la where listed is distinct from held)
+select subscription_id, stream_name, k as partition_id, o as record_offset, 1 as run from f
+union all select l.subscription_id, l.stream_name, l.k, l.o, 2 from l left join f using (subscription_id, stream_name, k, o) where l.listed is distinct from (case when f.o is null then l.held else f.listed end)""",
     "p1_file_runs": """
 with r as (select stream_name, record_offset, data, epoch_us(arrived_at) as us from produced_record),
 c as (select min(us) + (max(us) - min(us)) // 2 as cut from r),

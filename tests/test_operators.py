@@ -82,7 +82,7 @@ def test_file_runs_hold_each_record_once(spark, tmp_path):
     assert sorted((x.v, x.run) for x in incremental.file_runs(df.where("v in (2, 8)"), "at", str(tmp_path / "c")).collect()) == [(2, 1), (2, 1), (8, 1)]
 
 
-def test_pending_offsets_cases(spark):
+def test_pending_offsets_cases(spark, tmp_path):
     wire = "k".ljust(32, "\0")
     rec = [("s", "k", 0, 1, '{"a":1,"b":2}', None, day(1)), ("s", wire, 0, 2, '{"b": 2, "a": 1}', None, day(9)), ("s", "k", 1, 1, '{"a":1}', None, day(1)), ("s", "k", 1, 2, '{"a":2}', None, day(9)), ("s", "k", 2, 1, '{"a":3}', None, day(1)), ("s", "k", 2, 1, '{"a":3}', None, day(1)),
            ("s", "k", 3, 1, "no json", None, day(2)), ("s", None, None, 1, "{}", None, day(1)), ("s", "k", 4, 1, None, None, day(3)), ("s", "K", 0, 1, "{}", None, day(1)), ("s", "k", 5, 1, "{}", None, day(3))]
@@ -91,11 +91,76 @@ def test_pending_offsets_cases(spark):
                                  "subscription_id string, stream_name string, partition_id string, first_offset bigint, range_start bigint, range_end bigint, committed bigint, committed_at timestamp_ntz, inflight_since timestamp_ntz, inflight_by bigint, snapshot_at timestamp_ntz")
     runs = spark.createDataFrame([("u", "s", "k", "1", " DO ne", 2, 2, None, day(3), None), ("u", "s", "k", "2", None, 99, 4, None, day(30), None), ("u", "s", "k", "3", "done", None, 4, None, day(40), None)],
                                  "subscription_id string, stream_name string, offset_key string, run_id string, run_state string, last_completed_offset bigint, max_offset bigint, started_at timestamp_ntz, finished_at timestamp_ntz, reported_at timestamp_ntz")
-    out = sorted(tuple(r) for r in incremental.pending_offsets(records, snap, runs).collect())
-    assert out == [("u", "s", "k", 1), ("u", "s", "k", 3), ("u", "s", "k", 4), ("v", "s", "k", 1), ("v", "s", "k", 2)]
-    assert incremental.pending_offsets(records.limit(0), snap, runs).count() == 0
-    assert incremental.pending_offsets(records, snap.limit(0), runs).count() == 0
-    assert incremental.pending_offsets(records, snap, runs.limit(0)).count() > 0
+    import itertools
+
+    number = itertools.count()
+
+    def found(*tables):
+        m = incremental.RecordManifest(spark, str(tmp_path / str(next(number))))
+        return sorted(tuple(r) for r in m.read(m.run(*incremental.offset_listing(*tables))).select(*incremental.RECORD).collect())
+
+    assert found(records, snap, runs) == [("u", "s", "k", 1), ("u", "s", "k", 3), ("u", "s", "k", 4), ("v", "s", "k", 1), ("v", "s", "k", 2)]
+    assert found(records.limit(0), snap, runs) == [] and found(records, snap.limit(0), runs) == [] and len(found(records, snap, runs.limit(0))) > 0
+    wild = snap.where("subscription_id = 'v'").withColumn("range_end", F.lit(2**62)).withColumn("first_offset", F.lit(-5).cast("bigint"))
+    far = records.unionByName(records.where("record_offset = 5").withColumn("record_offset", F.lit(2**50 + 3)))
+    assert [r[3] for r in found(far, wild, runs)] == [0, 1, 2, 3, 4, 5, 2**50 + 3]
+
+
+def test_stretches_rise_with_the_offset(spark):
+    at = sorted({x + d for b in range(63) for x in [1 << b] for d in (-1, 0, 1)} | {2**63 - 1, -7, 3 << 40})
+    got = [r.s for r in spark.createDataFrame([(x,) for x in at if x < 2**63], "o bigint").orderBy("o").select(incremental.stretch_of_offset("o").alias("s")).collect()]
+    assert got == sorted(got) and got[-1] < 4_000_000
+
+
+def test_record_runs_survive_failure(spark, tmp_path):
+    schema = "subscription_id string, stream_name string, partition_id string, record_offset bigint, stretch bigint, size int, checksum bigint"
+    rows = lambda *x: spark.createDataFrame([("u", "s", "k", o, 0, 1, c) for o, c in x], schema)
+    m = incremental.RecordManifest(spark, str(tmp_path))
+    got = lambda b: sorted((r.record_offset, r.checksum) for r in m.read(b).collect())
+    covered = rows((0, 10))
+
+    class Dies(incremental.RecordManifest):
+        def _commit(self, *a):
+            raise OSError("lost before the commit")
+
+    with pytest.raises(OSError):
+        Dies(spark, str(tmp_path)).run(rows((0, 10), (1, 11), (2, 12)), covered)
+    assert m.batches() == []
+    assert got(m.run(rows((0, 10), (1, 11), (2, 12)), covered)) == [(1, 11), (2, 12)]
+    assert m.run(rows((0, 10), (1, 11), (2, 12)), covered) is None
+    assert got(m.run(rows((0, 10), (1, 21), (2, 12), (3, 13)), covered)) == [(1, 21), (3, 13)]
+    assert got(m.run(rows((0, 10), (1, 11), (2, 12), (3, 13)), covered)) == [(1, 11)]  # back to an older form is a change
+    with pytest.raises(RuntimeError):
+        m._commit(1, "again")
+
+
+def test_only_changed_files_are_read(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in"
+    src.mkdir()
+    for n in "abc":
+        (src / f"{n}.txt").write_text(n)
+        __import__("os").utime(src / f"{n}.txt", (1_700_000_000, 1_700_000_000))
+    m = incremental.FileManifest(spark, str(tmp_path / "state"))
+    process = lambda paths: spark.createDataFrame([(p,) for p in paths], "v string")
+    first = m.listing([str(src)])
+    m.run(first, process)
+    plan = lambda: [r.asDict() for r in m.listing([str(src)]).collect()]
+    (src / "b.txt").write_text("other")
+    real = incremental._hash_files
+
+    def spy(batches):
+        for b in real(batches):
+            (tmp_path / f"read-{b.column(0)[0].as_py().rpartition('/')[2]}").write_text(str(b.num_rows)) if b.num_rows else None
+            yield b
+
+    monkeypatch.setattr(incremental, "_hash_files", spy)
+    monkeypatch.setattr(incremental, "SNAPSHOT", 2)
+    now = plan()
+    assert [p.name for p in tmp_path.glob("read-*")] == ["read-b.txt"] and len({r["checksum"] for r in now}) == 3
+    for i in range(5):
+        (src / "b.txt").write_text("x" * (10 + i))
+        assert m.run(m.listing([str(src)]), process) is not None
+    assert m.entries().count() == 3 and (tmp_path / "state" / "snapshots").exists() and m.run(m.listing([str(src)]), process) is None
 
 
 # 2
