@@ -36,15 +36,15 @@ SNAPSHOT = 50
 ENTRY = T.StructType([*LISTING.fields, T.StructField("batch_id", T.StringType()), T.StructField("seq", T.LongType())])
 
 
-def pending(listing: DataFrame, manifest: DataFrame, identity: list[str]) -> DataFrame:
+def pending(listing: DataFrame, manifest: DataFrame, identity: list[str], filled: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the listing whose identity, size and checksum the manifest doesn't hold.
 
-    Nulls compare as equal values. Rows repeated in these come out once. Other columns of the listing are kept.
+    Nulls compare as equal values. `filled` names columns that never are null: a partitioning by these serves the join. Rows repeated in these come out once. Other columns of the listing are kept.
     """
     held = manifest.select(*[F.col(c).alias(f"__m_{c}") for c in (*identity, "size", "checksum")]).distinct()
     on = None
     for c in (*identity, "size", "checksum"):
-        same = F.col(c).eqNullSafe(F.col(f"__m_{c}"))
+        same = F.col(c) == F.col(f"__m_{c}") if c in filled else F.col(c).eqNullSafe(F.col(f"__m_{c}"))
         on = same if on is None else on & same
     return listing.dropDuplicates([*identity, "size", "checksum"]).join(held, on, "left_anti")
 
@@ -249,7 +249,8 @@ def offset_listing(records: DataFrame, snapshots: DataFrame, runs: DataFrame) ->
     wanted = state.where("first <= last").withColumn("stretch", F.explode(F.sequence(stretch_of_offset("first"), stretch_of_offset("last"))))
     both = versions.join(wanted, [*key, "stretch"]).where(F.col("record_offset").between(F.col("first"), F.col("last")))
     covered = (F.col("record_offset") <= F.col("watermark")) & (F.col("arrived_at") <= F.col("success"))
-    newest = lambda df: df.groupBy(*RECORD, "stretch").agg(F.max_by("form", "write_no").alias("form")).select(*RECORD, "stretch", "form.*")
+    # Both read the same columns, so that the records are moved once for the two.
+    newest = lambda df: df.groupBy(*RECORD, "stretch").agg(F.max_by(F.struct("form", "arrived_at"), "write_no").alias("v")).select(*RECORD, "stretch", "v.form.*")
     return newest(both), newest(both.where(covered))
 
 
@@ -285,7 +286,7 @@ class RecordManifest:
         before = conf.get(co)
         try:
             conf.set(co, "false")  # both sides already lie by (stream, key, stretch), a part of the identity
-            pending(listing, manifest, [*RECORD, "stretch"]).write.mode("overwrite").parquet(at)
+            pending(listing, manifest, [*RECORD, "stretch"], (*RECORD[1:], "stretch")).write.mode("overwrite").parquet(at)
         finally:
             conf.set(co, before)
         if self.read(batch).limit(1).count() == 0:
