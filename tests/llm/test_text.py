@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillflow.llm import leakage, packing, pii
 from rillflow.llm.render import plain_words, shown, words
@@ -111,11 +112,46 @@ def test_edited_copies_equal_brute_force(spark):
 
 def test_alignment():
     a = np.arange(20)
-    assert leakage.align(a, a) == (40, 20)
+    assert leakage.align(a, a) == 40 and leakage.longest_run(a, a) == 20
     edited = np.concatenate([a[:9], [99], a[10:]])
-    assert leakage.align(a, edited) == (37, 10)
-    assert leakage.align(a, np.concatenate([a[:10], a[11:]])) == (37, 10)
-    assert leakage.align(a, np.array([50, 51])) == (0, 0)
+    assert leakage.align(a, edited) == 37 and leakage.longest_run(a, edited) == 10
+    cut = np.concatenate([a[:10], a[11:]])
+    assert leakage.align(a, cut) == 37 and leakage.longest_run(a, cut) == 10
+    assert leakage.align(a, np.array([50, 51])) == 0 and leakage.longest_run(a, np.array([50, 51])) == 0
+
+
+@pytest.mark.parametrize("edits", (0.05, 0.1, 0.15, 0.2))
+def test_recall_of_edited_copies(spark, edits):
+    """Every item with a part of its words exchanged, between other words, is found again."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.01/eval_item.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    r = random.Random(int(edits * 100))
+    items = [x for x in pq.read_table(path).to_pylist() if len(plain_words(x["passage"])) >= 20]
+    docs = []
+    for x in items:
+        w = plain_words(x["passage"])
+        docs.append((x["item_id"], " ".join(["filler"] * r.randrange(300) + ["other" if r.random() < edits else v for v in w] + ["filler"] * r.randrange(300))))
+    found = leakage.edited_copies(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(x["item_id"], x["passage"], x["question"]) for x in items], "item_id bigint, passage string, question string"))
+    hit = {x.doc_id for x in found.collect() if x.doc_id == x.item_id}
+    print(f"edits {edits}: {len(hit)} of {len(docs)}")
+    assert len(docs) > 100 and len(hit) >= 0.9 * len(docs)
+
+
+def test_filter_and_grams():
+    r = np.random.default_rng(3)
+    u = r.integers(1, 2**63, 40).astype(np.uint64)
+    g = leakage.grams_of(u)
+    assert len(g) == 35 and (leakage.grams_of(u[4:20]) == g[4:15]).all() and len(leakage.grams_of(u[:5])) == 0
+    assert leakage.hash_words(["a", "b", "a"], {})[0] == leakage.hash_words(["a"], {})[0]
+
+
+def test_items_are_in_no_closure(spark):
+    """The filters are bounded, whatever the items are, and the corpus is read once."""
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(30)]).alias("passage"), F.lit(None).cast("string").alias("question"))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") * 7) for k in range(5, 25)]).alias("text"))
+    assert sorted(tuple(x) for x in leakage.leaks(docs, items).collect()) == [(i, 7 * i) for i in range(200)]
 
 
 def test_best_fit_and_bounds():
