@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from rillflow.runtime import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Texts of a partition, rounds of exchange, and how full a container must be to stay out of one (in a certified partition: less,
+#: Texts of a partition, rounds of exchange at most, and how full a container must be to stay out of one (in a certified partition: less,
 #: as only its left-over containers are worth an exchange).
 PER_PARTITION, ROUNDS, KEEP_FILL, KEEP_CERTIFIED = 40_000, 4, 0.995, 0.9
 
@@ -167,6 +167,14 @@ def _pack(round_no: int, last: bool):
 
 
 def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+    """The containers of `pack_and_report`."""
+    return pack_and_report(documents, capacities, tokenizer, per_partition, rounds)[0]
+
+
+_REPORT = "capacity_id int, round int, lot bigint, containers bigint, gap bigint, kept bigint"
+
+
+def pack_and_report(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(capacity_id, container, doc_id, piece, first_token, tokens): each text once for each capacity.
 
     documents: (doc_id, text); capacities: (capacity_id, capacity_tokens, separator_tokens); between two texts of a container its
@@ -177,6 +185,10 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER
 
     Texts are spread by a hash of their id over partitions of about `per_partition` texts, so no source or page fills one of
     them. Each exchange moves only the texts of containers that aren't full.
+
+    The report has a row for each partition of each round: containers, how many lie above its lower bound (`gap`; 0 is certified), and
+    how many are kept. After `rounds` rounds, or where all that is open fits one partition, what is open is kept as it is: a
+    gap in such a row is one that exchanges haven't closed, which doesn't say that it can be.
     """
     spark = documents.sparkSession
     caps = [(r.capacity_id, r.capacity_tokens, r.separator_tokens or 0) for r in capacities.where("capacity_id is not null and capacity_tokens > 0").limit(10_001).collect()]
@@ -185,12 +197,15 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER
     counted = cut_lineage(token_counts(documents, tokenizer))
     n = counted.count()
     done: DataFrame | None = None
+    report = spark.createDataFrame([], _REPORT)
     todo = counted.mapInPandas(_pieces(caps), _ITEMS)
     lots = max(1, math.ceil(n / per_partition))
     for r in range(rounds):
         last = r == rounds - 1
         placed = todo.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(lots)))
         packed = cut_lineage(placed.groupBy("capacity_id", "lot").applyInPandas(_pack(r, last), _PACKED))
+        partitions = packed.groupBy("capacity_id", "lot", "container").agg(F.max("gap").alias("gap"), F.max(F.col("kept").cast("int")).alias("kept"))
+        report = report.unionByName(partitions.groupBy("capacity_id", "lot").agg(F.count(F.lit(1)).alias("containers"), F.max("gap").alias("gap"), F.sum("kept").alias("kept")).withColumn("round", F.lit(r)))
         kept = packed.where("kept")
         done = kept if done is None else done.unionByName(kept)
         released = packed.where("not kept")
@@ -205,7 +220,7 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER
         lots = max(1, math.ceil(n_open / max(1, len(caps)) / per_partition))
     if done is None:
         done = spark.createDataFrame([], _PACKED)
-    return done.select("capacity_id", "container", "doc_id", "piece", (F.col("piece").cast("bigint") * F.col("capacity")).alias("first_token"), "tokens")
+    return done.select("capacity_id", "container", "doc_id", "piece", (F.col("piece").cast("bigint") * F.col("capacity")).alias("first_token"), "tokens"), report
 
 
 def certificate(documents: DataFrame, capacities: DataFrame, packed: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -248,6 +248,24 @@ def test_packing(spark):
     assert all(c.lower_bound <= c.containers and c.unused_tokens >= 0 for c in cert)
 
 
+@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no tokenizers here")
+def test_partitions_exchange(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    docs, caps = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "pack_capacity"))
+    packed, report = packing.pack_and_report(docs, caps, per_partition=100)
+    rows = report.collect()
+    rounds = {r["round"] for r in rows}
+    assert len(rounds) > 1 and max(r.lot for r in rows) > 3
+    for c in packing.certificate(docs, caps, packed).collect():
+        assert c.lower_bound <= c.containers <= c.lower_bound + max(1, 0.01 * c.lower_bound)
+        mine = [r for r in rows if r.capacity_id == c.capacity_id]
+        last = max(r["round"] for r in mine)
+        # Containers in the end are those kept in a round, and those of the last one.
+        assert c.containers == sum(r.kept for r in mine if r["round"] < last) + sum(r.containers for r in mine if r["round"] == last)
+
+
 @pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no tokenizers here")
 def test_counts_of_three_libraries(spark):
     df = spark.createDataFrame([(1, "Hello <|endoftext|> world"), (2, "")], "doc_id bigint, text string")
