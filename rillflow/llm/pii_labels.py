@@ -2,7 +2,8 @@
 
 The labels are distant ones: patterns with contexts, written for the test corpus of scale 0.1, mark its spans on a bounded
 sample (`SAMPLE` windows with spans and three times as many without). Values are then exchanged for made-up ones, so that
-the tagger learns forms and contexts, not the values. Run: python -m rillflow.llm.pii_labels TABLE OUT.npz [STEPS [START.npz]]
+the tagger learns forms and contexts, not the values. A part of each batch (`OTHER`) are made-up sentences with values of many other
+forms (`pii_forms`). Run: python -m rillflow.llm.pii_labels TABLE OUT.npz [STEPS [WORKERS [START.npz]]]
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ import sys
 
 import numpy as np
 
-from rillflow.llm import pii
+from rillflow.llm import pii, pii_forms
 from rillflow.llm.tagger import TYPES, Tagger, encode
 
 #: Most windows with spans that are drawn on (the corpus of scale 0.1 has fewer).
 SAMPLE = 20_000
 #: Batches of 96 windows that are trained on.
 STEPS = 2_400
+#: Part of a batch that is made up.
+OTHER = 0.4
 
 # Given names of the test corpus.
 GIVEN = (
@@ -184,22 +187,32 @@ def _draw(r: random.Random, item) -> tuple[np.ndarray, np.ndarray]:
     return encode(text), np.array(tags, np.int64)
 
 
-def train(texts: list[str], steps: int = STEPS, batch: int = 96, hidden: int = 32, seed: int = 7, say=print, start: Tagger | None = None) -> Tagger:
-    """With `start`, training goes on from there at a lower rate."""
-    r = random.Random(seed)
+def _made_up(r: random.Random) -> tuple[np.ndarray, np.ndarray]:
+    text, spans = pii_forms.sentence(r)
+    tags = np.zeros(len(text), np.int64)
+    for a, b, kind in spans:
+        k = TYPES.index(kind)
+        tags[a], tags[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
+    a = r.randrange(min(12, len(text)))
+    text, tags = text[a:][:180], tags[a:][:180]
+    return encode(text), tags
+
+
+def train(texts: list[str], steps: int = STEPS, batch: int = 96, hidden: int = 32, seed: int = 7, say=print, start: Tagger | None = None, workers: int = 1) -> Tagger:
+    """With `start`, training goes on from there at a lower rate. `batch` windows for each worker and step."""
     full, empty = windows_of(texts)
-    r.shuffle(full)
-    r.shuffle(empty)
+    random.Random(seed).shuffle(full)
+    random.Random(seed).shuffle(empty)
     full, empty = full[:SAMPLE], empty[: 3 * SAMPLE]
     say(f"{len(full)} windows with spans, {len(empty)} without")
     tagger = start or Tagger(hidden, seed)
 
-    def draw(_: int):
-        items = [r.choice(full) if r.random() < 0.55 else r.choice(empty) for _ in range(batch)]
-        rows = [_draw(r, i) for i in items]
+    def draw(step: int, part: int):
+        r = random.Random(f"{seed + (start is not None)} {step} {part}")
+        rows = [_made_up(r) if r.random() < OTHER else _draw(r, r.choice(full) if r.random() < 0.45 else r.choice(empty)) for _ in range(batch)]
         return [x for x, _ in rows], [y for _, y in rows]
 
-    tagger.fit(draw, steps, 1.5e-3 if start else 4e-3, say=lambda s, v: say(f"step {s}: {v:.3f}"))
+    tagger.fit(draw, steps, 2.5e-3 if start else 4e-3, say=lambda s, v: say(f"step {s}: {v:.3f}"), workers=workers)
     return tagger
 
 
@@ -220,4 +233,4 @@ if __name__ == "__main__":
     import pyarrow.parquet as pq
 
     rows = [t for t in pq.read_table(sys.argv[1], columns=["text"]).column(0).to_pylist() if t]
-    train(rows, int(sys.argv[3]) if len(sys.argv) > 3 else STEPS, start=Tagger.load(sys.argv[4]) if len(sys.argv) > 4 else None).save(sys.argv[2])
+    train(rows, int(sys.argv[3]) if len(sys.argv) > 3 else STEPS, 48, workers=int(sys.argv[4]) if len(sys.argv) > 4 else 1, start=Tagger.load(sys.argv[5]) if len(sys.argv) > 5 else None).save(sys.argv[2])

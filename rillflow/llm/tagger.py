@@ -225,17 +225,21 @@ class Tagger:
         g |= {"table": d_table, "recur": d_recur}
         return float((whole - gold).mean()), g
 
-    def fit(self, draw, steps: int, rate: float = 4e-3, clip: float = 5.0, say=None) -> None:
-        """Adam over `steps` batches of draw(step) -> (rows of symbols, rows of tags); the rate falls to a twentieth along a cosine."""
+    def fit(self, draw, steps: int, rate: float = 4e-3, clip: float = 5.0, say=None, workers: int = 1) -> None:
+        """Adam over `steps` batches of draw(step, part) -> (rows of symbols, rows of tags), drawn and computed in `workers` parts by as
+        many processes; the rate falls to a twentieth along a cosine."""
+        import multiprocessing
+
         first = {n: np.zeros_like(getattr(self, n), np.float64) for n in self.NAMES}
         second = {n: np.zeros_like(getattr(self, n), np.float64) for n in self.NAMES}
+        _Part.tagger, _Part.draw = self, draw
+        pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
         for s in range(1, steps + 1):
-            rows, tags = draw(s)
-            x, mask = pad(rows)
-            y = np.zeros(x.shape, np.int64)
-            for i, r in enumerate(tags):
-                y[i, : len(r)] = r
-            value, g = self.loss(x, mask, y)
+            now = {n: getattr(self, n) for n in self.NAMES}
+            jobs = [(s, k, now) for k in range(workers)]
+            parts = pool.map(_Part.gradients, jobs, 1) if pool else [_Part.gradients(jobs[0])]
+            value = sum(v for v, _ in parts) / workers
+            g = {n: sum(x[n] for _, x in parts) / workers for n in self.NAMES}
             norm = np.sqrt(sum(float((v.astype(np.float64) ** 2).sum()) for v in g.values()))
             scale = min(1.0, clip / (norm + 1e-9))
             lr = rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * s / steps)))
@@ -246,3 +250,25 @@ class Tagger:
                 getattr(self, n)[...] -= (lr * (first[n] / (1 - 0.9**s)) / (np.sqrt(second[n] / (1 - 0.99**s)) + 1e-7)).astype(np.float32)
             if say and s % 50 == 0:
                 say(s, value)
+        if pool:
+            pool.close()
+            pool.join()
+
+
+class _Part:
+    """One process's part of a batch."""
+
+    tagger: Tagger
+    draw = None
+
+    @staticmethod
+    def gradients(job) -> tuple[float, dict[str, np.ndarray]]:
+        step, part, now = job
+        for n, v in now.items():
+            setattr(_Part.tagger, n, v)
+        rows, tags = _Part.draw(step, part)
+        x, mask = pad(rows)
+        y = np.zeros(x.shape, np.int64)
+        for i, r in enumerate(tags):
+            y[i, : len(r)] = r
+        return _Part.tagger.loss(x, mask, y)

@@ -350,3 +350,45 @@ def test_tagger_against_held_out_labels():
     for kind in TYPES:
         labelled, found, both = s[kind]
         assert both >= 0.95 * labelled and both >= 0.95 * found, (kind, s[kind])
+
+
+def test_other_forms(capsys):
+    """Forms the corpus doesn't have; the figures stand in the README."""
+    import re
+    import sys
+
+    sys.path.insert(0, os.path.dirname(__file__))
+    from other_forms import SENTENCES
+
+    want, got = {k: 0 for k in TYPES}, {k: [0, 0] for k in TYPES}
+    for line in SENTENCES:
+        text, spans = "", set()
+        for piece in re.split(r"(\[[^\]|]*\|[a-z_]+\])", line):
+            if m := re.fullmatch(r"\[(.*)\|([a-z_]+)\]", piece):
+                spans.add((len(text), len(text) + len(m[1]), m[2]))
+                piece = m[1]
+            text += piece
+        found = set(pii.find([text])[0])
+        for _, _, k in spans:
+            want[k] += 1
+        for s in found:
+            got[s[2]][0] += 1
+            got[s[2]][1] += s in spans
+        if found != spans:
+            print(text, "| missed", [(text[a:b], k) for a, b, k in spans - found], "| wrong", [(text[a:b], k) for a, b, k in found - spans])
+    print({k: (want[k], *got[k]) for k in TYPES})
+    assert all(got[k][1] >= LEAST[k] * want[k] for k in TYPES), (want, got)
+
+
+#: Share of the values of other forms that must be found.
+LEAST = {"email": 0.9, "phone": 0.85, "id_number": 0.6, "street_address": 0.8, "name": 0.5}
+
+
+def test_full_windows_find_the_same():
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    texts = [t for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() if t]
+    some, all_ = (set((i, *s) for i, spans in enumerate(pii.find(texts, full=f)) for s in spans) for f in (False, True))
+    assert len(some & all_) >= 0.98 * max(len(some), len(all_))
