@@ -8,22 +8,23 @@ from pyspark.sql import types as T
 
 from rillflow import config as C
 from rillflow.errors import ConfigurationError, CycleError, JoinError, OccupiedError, SchemaNotFound, StreamNotFound
+from rillflow.files import LocalFiles
 from rillflow.types import parse_tag, struct_type
 
 
 class Topography:
     """Applying the same configuration again changes nothing; another definition under a taken name is refused, as a whole.
 
-    With `path` (read and written through `files`, so it may lie in any store), every accepted configuration and every drop
+    With `path` (read and written through `files`, so it may lie in any store; else a local file), every accepted configuration and every drop
     is one JSON line there, and the next Topography on it has them again.
     """
 
     def __init__(self, path: str | None = None, files=None):
         self.config = C.Configuration()
-        self.path, self.files = path, files
+        self.path, self.files = path, files or LocalFiles()
         self._lines: list[str] = []
-        if path and files.exists(path):
-            self._lines = [x for x in files.read(path).splitlines() if x.strip()]
+        if path and self.files.exists(path):
+            self._lines = [x for x in self.files.read(path).splitlines() if x.strip()]
             for unit in map(json.loads, self._lines):
                 if "drop" in unit:
                     self._drop(unit["drop"])

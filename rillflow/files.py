@@ -118,3 +118,20 @@ class Files:
 
     def qualified(self, path: str) -> str:
         return self._at(path)[1].toString()
+
+
+class LocalFiles:
+    """The same for a folder of this machine, without a session."""
+
+    def exists(self, path: str) -> bool:
+        return os.path.exists(path)
+
+    def read(self, path: str) -> str:
+        with open(path) as f:
+            return f.read()
+
+    def replace(self, path: str, text: str) -> None:
+        temp = f"{path}.{uuid.uuid4().hex}.tmp"
+        with open(temp, "w") as f:
+            f.write(text)
+        os.replace(temp, path)

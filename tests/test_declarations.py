@@ -97,7 +97,7 @@ def test_merge_is_idempotent_and_kept(tmp_path):
     with pytest.raises(ConfigurationError):
         again.drop_stream("value")
     again.drop_stream("d")
-    assert again.children("value") == []
+    assert again.children("value") == [] and Topography(tmp_path / "t.jsonl").config == again.config  # a drop is kept
 
 
 def test_storage_settings():

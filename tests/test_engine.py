@@ -14,6 +14,7 @@ from rillflow.operators.reduce import apply_reduce
 from rillflow.udf import ArrowMap, ColumnMap, Fold, PyFold
 
 T0 = dt.datetime(2024, 1, 1)
+# Schemas and records of the cases whose results must match.
 CUSTOMERS = """
 [schema.customer]
 id = "string"
