@@ -1,4 +1,5 @@
-"""Sentences of other forms than the corpus's, written by hand: [value|type]. No value of them stands in the lists the tagger was trained with."""
+"""Sentences of other forms than the corpus's, written by hand: [value|type]. No whole value is drawn from in training,
+but single given and family names (Mary, Thomas, Müller) and many groupings of digits do stand in its lists."""
 
 SENTENCES = """
 The letter was signed by [Priya Natarajan|name] and sent to [priya.n@stanford.edu|email] the same day.
