@@ -1,18 +1,20 @@
 """Personal information in free text: found by a character tagger, replaced by typed placeholders.
 
-1. Candidate search: cheap patterns over the whole text name every place where something of the five types might stand (a
-   sign of an address, seven digits close together, a number beside a street word, two capitalised words). It only saves
-   the tagger the rest of the text and decides nothing.
-2. The bidirectional LSTM with CRF transitions (`tagger`) decodes overlapping windows around them.
-3. Spans of overlapping windows are reconciled over the whole text: of those in conflict, the set with the greatest
+1. The whole text is cut into overlapping windows; every character lies in one.
+2. The bidirectional LSTM with CRF transitions (`tagger`) decodes each window.
+3. An exact check puts each span on whole tokens and drops what can't be a value of its type.
+4. Spans of overlapping windows are reconciled over the whole text: of those in conflict, the set with the greatest
    total score stays.
-4. An exact check puts each span on whole tokens and drops what can't be a value of its type.
+
+The candidate search (a sign of an address, seven digits close together, a number beside a street word, two capitalised words) picks the
+windows that training draws on. Decoding only where it strikes is left as a quick look on request, which misses values (`full=False`).
 """
 
 from __future__ import annotations
 
 import functools
 import io
+import itertools
 import pkgutil
 import re
 from collections.abc import Iterator
@@ -28,8 +30,12 @@ from rillflow.runtime import spread
 MODEL = "pii_tagger.npz"
 #: Characters of context around a candidate, of a window, and that two windows share.
 CONTEXT, WINDOW, OVERLAP, BATCH = 36, 144, 56, 384
+#: The same of windows over a whole text: two share so much that any value has some context in one of them.
+LONG_WINDOW, LONG_OVERLAP = 640, 112
 #: Windows decoded before, by text; only saves time (revisions repeat each other).
 REMEMBERED = 100_000
+#: Windows looked up at once: bounds what is held beside the texts, however long they are.
+ROUND = 8_192
 
 # Words that mark a street, and function words that begin sentences, in the four languages of the corpus.
 STREET = "street|road|row|lane|close|cl|st|rd|ln|ave|avenue|blvd|boulevard|drive|court|way|square|terrace|weg|platz|allee|ring|rue|impasse|place|chemin|allée|quai|calle|avenida|plaza|paseo|camino|crescent|gardens|dr|ct|via|piazza|rua|str"
@@ -91,15 +97,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
 _STOP = frozenset(NOT_GIVEN)
 
 
-def windows(text: str, full: bool = False) -> list[tuple[int, int]]:
+def windows(text: str, full: bool = False) -> Iterator[tuple[int, int]]:
     """The stretches (with `full`, the whole text) cut into overlapping windows."""
-    out = []
-    for a, b in [(0, len(text))] if full else candidates(text):
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
-        out.append((a, b))
-    return out
+    long, shared = (LONG_WINDOW, LONG_OVERLAP) if full else (WINDOW, OVERLAP)
+    for a, b in [(0, len(text))][: len(text)] if full else candidates(text):
+        while b - a > long:
+            yield a, a + long
+            a += long - shared
+        yield a, b
 
 
 def spans_of(tags: np.ndarray, gain: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -151,6 +156,10 @@ _PHONE_WORD = re.compile(r"(?:tel|phone|call|ring|mobile|fax|text me|telefon|té
 _ID = re.compile(r"(?<![^\W_])[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?![^\W_])|(?<![^\W_])[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d(?![^\W_])|(?:(?<![^\W_])(?:[A-Za-z]{1,2}|[A-Z][ -]))?\d(?:[ .\-]?\d){6,14}(?:-?[A-Za-z](?![^\W_]))?")
 _FIRST = re.compile(r"([^\W\d_]+)[\s:,]+(?=[^\W_])")
 _PARTICLES = frozenset("van von de della al der du la di el bin".split())
+#: Function words that no name begins with, and particles that are no given name with a capital either.
+_NO_NAME, _ARTICLES = _STOP - _PARTICLES - {"des", "les"}, _STOP & _PARTICLES - {"al"}
+#: Endings of file names, which are no domains.
+_FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|tiff?)$", re.I)
 _ISBN = re.compile(r"isbn[\s:=]*$", re.I)
 _LEAD = re.compile(rf"(?!(?:{STREET}|c|flat|apt|unit|floor|am|im|an|auf|zum|zur)\b|[^\W\d_]*(?:straße|strasse|gasse|hof|weg)\b)[a-zà-ÿ]+[\s:,]+(?=[^\W_])")
 _WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
@@ -174,7 +183,7 @@ def check(text: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
             return None
         a, b = best
         if name == "email":
-            return a, b
+            return None if _FILE.search(text, a, b) else (a, b)
         value = re.sub(r"\s?(?:ext|x)\.?\s?\d+$", "", text[a:b], flags=re.I) if name == "phone" else text[a:b]
         digits = len(_DIGIT.findall(value))
         if name == "phone" and text[a] == "(" and ")" not in text[a:b]:
@@ -195,8 +204,11 @@ def check(text: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
     while a < b and text[b - 1] in tail:
         b -= 1
     if name == "name":
-        words = [w for w in re.findall(_WORD, text[a:b]) if w.lower() not in _PARTICLES and w != "nbsp"]
-        good = all(w[0].isupper() for w in words) and words[-1].lower() not in _STREETS and _FULL_NAME.fullmatch(text, a, b)
+        # Words of the sentence before the name.
+        while (m := _FIRST.match(text, a, b)) and m.group(1).lower() in _NO_NAME:
+            a = m.end()
+        words = [w for w in re.findall(_WORD, text[a:b]) if w not in _PARTICLES and w.lower() not in _ARTICLES and w != "nbsp"]
+        good = len(words) > 1 and all(w[0].isupper() for w in words) and words[-1].lower() not in _STREETS and _FULL_NAME.fullmatch(text, a, b)
         return (a, b) if good else None
     if text[b : b + 1] == "." and re.search(r"\b(?:Ave|Rd|St|Blvd|Ln)$", text[a:b], re.I) and not re.search(r"\d$", text[a:b]):
         b += 1
@@ -213,42 +225,38 @@ def model(name: str = MODEL) -> Tagger:
     return Tagger.load(io.BytesIO(pkgutil.get_data(__package__, name)))
 
 
-def find(texts: list[str], tagger: Tagger | None = None, known: dict | None = None, full: bool = False) -> list[list[tuple[int, int, str]]]:
+def find(texts: list[str], tagger: Tagger | None = None, known: dict | None = None, full: bool = True) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of each text, in order; offsets are code points of the text as it is.
 
-    full: decode whole texts, not only the candidate places; slower, and finds what no candidate pattern looks for (names in lower case or
-    in a script without capitals, if the tagger knows them)."""
+    full: decode the whole of every text. Without it only the candidate places are: some four times less work, but values of forms that no
+    candidate pattern looks for are missed."""
     tagger = tagger or model()
     known = {} if known is None else known
-    places = [windows(t, full) for t in texts]
-    todo = {t[a:b] for t, w in zip(texts, places) for a, b in w} - known.keys()
-    ordered = sorted(todo, key=len)
-    for i in range(0, len(ordered), BATCH):
-        part = ordered[i : i + BATCH]
-        for piece, (tags, gain) in zip(part, tagger.decode([encode(p) for p in part])):
-            known[piece] = spans_of(tags, gain)
-    out = []
-    for t, w in zip(texts, places):
-        spans = []
-        for a, b in w:
+    spans: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    places = ((i, a, b) for i, t in enumerate(texts) for a, b in windows(t, full))
+    while part := list(itertools.islice(places, ROUND)):
+        todo = {texts[i][a:b] for i, a, b in part} - known.keys()
+        ordered = sorted(todo, key=len)
+        for k in range(0, len(ordered), BATCH):
+            pieces = ordered[k : k + BATCH]
+            for piece, (tags, gain) in zip(pieces, tagger.decode([encode(p) for p in pieces])):
+                known[piece] = spans_of(tags, gain)
+        for i, a, b in part:
+            t = texts[i]
             for s, e, k, score in known[t[a:b]]:
                 cut = (s == 0 and a > 0) or (e == b - a and b < len(t))
-                # On the best path a span may owe its place to the transitions: it counts, but loses to any other.
-                spans.append((a + s, a + e, k, max(score, 1e-3) * (0.5 if cut else 1.0)))
-        checked = []
-        for a, b, k in reconcile(spans):
-            if (fixed := check(t, a, b, k)) and (not checked or fixed[0] >= checked[-1][1]):
-                checked.append((*fixed, TYPES[k]))
-        out.append(checked)
-    if len(known) > REMEMBERED:
-        known.clear()
-    return out
+                if fixed := check(t, a + s, a + e, k):
+                    # On the best path a span may owe its place to the transitions: it counts, but loses to any other.
+                    spans[i].append((*fixed, k, max(score, 1e-3) * (0.5 if cut else 1.0)))
+        if len(known) > REMEMBERED:
+            known.clear()
+    return [[(a, b, TYPES[k]) for a, b, k in reconcile(found)] for found in spans]
 
 
-def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", full: bool = False) -> DataFrame:
+def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", full: bool = True) -> DataFrame:
     """One row an occurrence: (id, span_start, span_end, pii_type); offsets are 0-based code points, the end exclusive.
 
-    Null and empty texts have no rows. A text stored twice under one id gives its rows once for each. Long texts are decoded
+    Null and empty texts have no rows. A text stored twice under one id gives its rows once for each. All texts are decoded
     whole, window by window; `full` as in `find`. Nothing is shuffled (but small inputs are spread over the cores); the tagger (about 70 KB) is read once a worker.
     """
     out = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType()), T.StructField("pii_type", T.StringType())])
@@ -285,7 +293,7 @@ def mask(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(df: DataFrame, text_column: str = "text", full: bool = False) -> DataFrame:
+def redact(df: DataFrame, text_column: str = "text", full: bool = True) -> DataFrame:
     """The input with personal information in the text replaced; all other columns and rows as they are. Nulls stay null."""
     schema, place = df.schema, df.columns.index(text_column)
 

@@ -115,14 +115,74 @@ class Tagger:
             keep.append((features, both))
         return features @ self.out + self.bias
 
+    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The same as `emissions` (but for the rounding of the last sums), for decoding alone: gates lie one after the other and are
+        computed in place; their halves are taken out of them and into the weights behind."""
+        b, t = x.shape
+        h4 = self.hidden
+        one, half = np.float32(1), np.float32(0.5)
+        table = self.table.reshape(2 * SYMBOLS, 4, h4).transpose(1, 0, 2).reshape(-1, h4)
+        recur = np.ascontiguousarray((self.recur * half).reshape(2, h4, 4, h4).transpose(2, 0, 1, 3))
+        out = self.out * half
+        rows = np.ascontiguousarray(np.stack([x, x[:, ::-1] + SYMBOLS]).transpose(2, 0, 1)).astype(np.intp)
+        gate = 2 * SYMBOLS * np.arange(4)[:, None, None]
+        live = None if mask.all() else np.stack([mask, mask[:, ::-1]]).transpose(2, 0, 1)[..., None].astype(np.float32)
+        z = np.empty((4, 2, b, h4), np.float32)
+        c, size = np.zeros((2, b, h4), np.float32), np.empty_like(z)
+        hs = np.zeros((t + 1, 2, b, h4), np.float32)
+        for s in range(t):
+            h = hs[s + 1]
+            np.take(table, rows[s] + gate, axis=0, out=z, mode="clip")
+            np.matmul(hs[s], recur, out=size)
+            z += size
+            np.abs(z, out=size)
+            size += one
+            z /= size
+            z[:3] += one
+            c *= z[1]
+            c += np.multiply(z[0], z[3], out=z[0])
+            c *= half
+            if live is not None:
+                c *= live[s]
+            np.abs(c, out=size[0])
+            size[0] += one
+            np.divide(c, size[0], out=h)
+            h *= z[2]
+            if live is not None:
+                h *= live[s]
+        return hs[1:, 0] @ out[:h4] + hs[:0:-1, 1] @ out[h4:] + self.bias
+
+    def _hopeful(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Rows of which the best path may hold an entity. In the others no stretch of entity tags can score as much as none there, even
+        if it changes between the first tags of all types, and between the others, at the best transition of any: their path is empty."""
+        t, b, _ = e.shape
+        tags = (np.arange(1, TAGS, 2), np.arange(2, TAGS, 2))
+        none = self.trans[0, 0]
+        over = []
+        for kinds in tags:
+            best = e[:, :, kinds[0]]
+            for k in kinds[1:]:
+                best = np.maximum(best, e[:, :, k])
+            over.append(np.where(mask.T, best - e[:, :, 0], np.float32(-1e9)))
+        step = [[self.trans[np.ix_(p, q)].max() - none for q in tags] for p in tags]
+        enter = [self.trans[0, q].max() - none for q in tags]
+        at = [over[q][0] + (self.start[tags[q]].max() - self.start[0]) for q in (0, 1)]
+        last = mask.sum(1) - 1
+        leave = [self.trans[p, 0].max() - none for p in tags]
+        ends = [self.end[p].max() - self.end[0] for p in tags]
+        top = np.full(b, -np.inf, np.float32)
+        for s in range(t):
+            if s:
+                at = [np.maximum(np.maximum(at[0] + step[0][q], at[1] + step[1][q]), enter[q]) + over[q][s] for q in (0, 1)]
+            for p in (0, 1):
+                np.maximum(top, at[p] + np.where(last == s, np.float32(ends[p]), np.float32(leave[p])), out=top)
+        return top > -1e-2
+
     def decode(self, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Best tag path of each row of symbols, and for each position how far the best tag's score lies above that of no entity."""
         x, mask = pad(rows)
-        e = self.emissions(x, mask)
-        # Where no tag of an entity reaches that of none, even with the best transition, the path without entities is the best one.
-        bonus = float(max(self.trans.max() - self.trans[0, 0], 0) + max(self.trans.max(), self.start.max(), self.end.max()) - min(self.trans[0, 0], self.start[0], self.end[0]))
-        over = ((e[:, :, 1:].max(2) - e[:, :, 0]).T > -bonus) & mask
-        some = np.flatnonzero(over.any(1))
+        e = self.scores(x, mask)
+        some = np.flatnonzero(self._hopeful(e, mask))
         out = [(np.zeros(len(r), np.int8), np.zeros(len(r), np.float32)) for r in rows]
         if len(some):
             for i, found in zip(some, self._paths(e[:, some], mask[some])):

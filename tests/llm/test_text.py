@@ -392,3 +392,73 @@ def test_full_windows_find_the_same():
     texts = [t for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() if t]
     some, all_ = (set((i, *s) for i, spans in enumerate(pii.find(texts, full=f)) for s in spans) for f in (False, True))
     assert len(some & all_) >= 0.98 * max(len(some), len(all_))
+
+
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [("Dear Šárka Nováková, thank you for the book.", "Šárka Nováková", "name"), ("Professor Łukasz Żeromski lectured on tides.", "Łukasz Żeromski", "name"), ("Met with Rohan Đorđević about the roof.", "Rohan Đorđević", "name"),
+     ("Er wohnt in der Friedrichstraße 43 seit Jahren.", "Friedrichstraße 43", "street_address")],
+)
+def test_whole_texts_are_decoded(spark, text, value, kind):
+    """Values where no candidate pattern strikes, alone and far into a long text."""
+    assert pii.candidates(text) == []
+    long = "the tide was low. " * 400 + text + " the tide was high." * 400
+    df = spark.createDataFrame([(1, text), (2, long), (3, None), (4, "")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.span_start, r.span_end, r.pii_type) for r in pii.find_pii(df).collect()}
+    assert got == {(d, t.index(value), t.index(value) + len(value), kind) for d, t in ((1, text), (2, long))}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {1: text.replace(value, f"[{kind.upper()}]"), 2: long.replace(value, f"[{kind.upper()}]"), 3: None, 4: ""}
+
+
+def test_windows_cover_the_text():
+    long, shared = pii.LONG_WINDOW, pii.LONG_OVERLAP
+    for n in (1, long - 1, long, long + 1, 2 * long - shared, 2 * long - shared + 1, 20_000):
+        places = list(pii.windows("x" * n, True))
+        assert places[0][0] == 0 and places[-1][1] == n and all(b - a <= long for a, b in places)
+        assert all(b - c == shared for (_, b), (c, _) in zip(places, places[1:]))
+    assert list(pii.windows("", True)) == []
+
+
+def test_rounds_and_memory_change_nothing(monkeypatch):
+    texts = [t for t, _ in CASES] + ["", " ".join(t for t, _ in CASES * 3)]
+    want = pii.find(texts)
+    assert sum(map(len, want)) > 20
+    monkeypatch.setattr(pii, "ROUND", 2)
+    monkeypatch.setattr(pii, "REMEMBERED", 1)
+    assert pii.find(texts) == want
+
+
+def test_function_words_begin_no_name():
+    where = lambda t, v: pii.check(t, t.index(v), t.index(v) + len(v), TYPES.index("name"))
+    cut = lambda t, v: (s := where(t, v)) and t[s[0] : s[1]]
+    assert cut("every spring. In Ploushesvik the word", "In Ploushesvik") is None and cut("le registre de Skuskei, le port", "de Skuskei") is None
+    assert cut("In Marek Kijumann", "In Marek Kijumann") == "Marek Kijumann"
+    for name in ("Al Gore", "Van Morrison", "Victor della Dranmann"):
+        assert cut(f"by {name} in", name) == name
+
+
+def test_a_wrong_span_displaces_no_right_one():
+    """A part of a name, with a greater score in the next window, can't be a name: the whole one stays."""
+    step = pii.LONG_WINDOW - pii.LONG_OVERLAP
+    text = "x" * (step - 8) + " Victor della Dranmann " + "x" * 1000
+    a = text.index("Victor")
+    found = {0: [(a, a + 21, 4, 5.0)], step: [(a + 7 - step, a + 21 - step, 4, 9.0)]}
+    pieces = {text[s:e]: found.get(s, []) for s, e in pii.windows(text, True)}
+    assert pii.find([text], known=pieces) == [[(a, a + 21, "name")]]
+
+
+def test_decoding_equals_the_full_path_search():
+    """Leaving out windows that can't hold an entity, and computing in place, change no path."""
+    texts = [t for t, _ in CASES] + ["no one is here", "the tide was low and the boats lay on the sand", "a"]
+    rows = [encode(t) for t in texts]
+    x, mask = pad(rows)
+    r = np.random.default_rng(1)
+    shaken = [Tagger(6, k) for k in range(20)]
+    for t in shaken:
+        t.bias[0] += 2
+        for p in (t.trans, t.start, t.end):
+            p += r.normal(0, 1, p.shape).astype(np.float32)
+    for t in [pii.model(), *shaken]:
+        e = t.emissions(x, mask)
+        assert np.abs(e - t.scores(x, mask))[mask.T].max() < 1e-3
+        assert all((p[: len(s)] == q).all() for (p, _), (q, _), s in zip(t._paths(e, mask), t.decode(rows), rows))
+    assert not pii.model()._hopeful(pii.model().scores(x, mask), mask).all()
