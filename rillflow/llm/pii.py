@@ -1,6 +1,7 @@
 """Personal information in free text: found by a character tagger, replaced by typed placeholders.
 
-1. The whole text is cut into overlapping windows; every character lies in one.
+1. The whole text is searched for places where the exact check (3) could let a value through. Each of them, with the context
+   beside it, is cut into overlapping windows; what lies outside can't become a row, whatever the tagger says of it.
 2. The bidirectional LSTM with CRF transitions (`tagger`) decodes each window.
 3. An exact check puts each span on whole tokens and drops what can't be a value of its type.
 4. Spans of overlapping windows are reconciled over the whole text: of those in conflict, the set with the greatest
@@ -17,7 +18,7 @@ import io
 import itertools
 import pkgutil
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ MODEL = "pii_tagger.npz"
 CONTEXT, WINDOW, OVERLAP, BATCH = 36, 144, 56, 384
 #: The same of windows over a whole text: two share so much that any value has some context in one of them.
 LONG_WINDOW, LONG_OVERLAP = 640, 112
+#: Characters decoded on either side of a possible value: what a value in the middle of two windows' common part has beside it.
+BESIDE = LONG_OVERLAP // 2
 #: Windows decoded before, by text; only saves time (revisions repeat each other).
 REMEMBERED = 100_000
 #: Windows looked up at once: bounds what is held beside the texts, however long they are.
@@ -97,10 +100,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
 _STOP = frozenset(NOT_GIVEN)
 
 
-def windows(text: str, full: bool = False) -> Iterator[tuple[int, int]]:
-    """The stretches (with `full`, the whole text) cut into overlapping windows."""
+def windows(text: str, full: bool = False, stretches: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
+    """The stretches (the candidates, with `full` the whole text, unless they are given) cut into overlapping windows."""
     long, shared = (LONG_WINDOW, LONG_OVERLAP) if full else (WINDOW, OVERLAP)
-    for a, b in [(0, len(text))][: len(text)] if full else candidates(text):
+    if stretches is None:
+        stretches = [(0, len(text))][: len(text)] if full else candidates(text)
+    for a, b in stretches:
         while b - a > long:
             yield a, a + long
             a += long - shared
@@ -219,21 +224,99 @@ def check(text: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
     return (a, b) if _DIGIT.search(piece) and _has_street(piece) and "\n" not in piece else None
 
 
+# What any value that `check` lets through must have in it. These patterns take in more than those of the check, never less.
+#: Any capital letter, and all that lies beyond Latin-1.
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ\u0100-\U0010ffff]"
+_KEPT = rf"{_CAPITAL}(?<![^\W_].)[^\W\d_]*+(?:['’][^\W\d_]++){{0,8}}+"
+#: Words that don't count in a name, and what else stands between two that do: a stop behind one letter, a hyphen between two.
+_UNCOUNTED = rf"(?:nbsp|{'|'.join(sorted(_PARTICLES))}|(?i:{'|'.join(sorted(_ARTICLES))}))(?!['’]?[^\W\d_])"
+_JOINT = rf"(?:\s++|,(?=\s)|(?<=[^\W\d_])(?<![^\W\d_][^\W\d_])\.|(?<=[^\W\d_])-(?=[^\W\d_])|&nbsp;|&(?=(?i:nbsp);)|(?<=(?i:nbsp));|{_UNCOUNTED})"
+# Further apart than a window is long, or behind more joined parts, two words are in no name: so the search takes no more than some time a character.
+_CHAIN = re.compile(rf"{_KEPT}(?:{_JOINT}{{1,{LONG_WINDOW}}}+{_KEPT})++")
+_KEPT_WORD = re.compile(rf"({_KEPT}){_JOINT}*+")
+_UNCOUNTED_BEFORE = re.compile(rf"(?<![^\W\d_]){_UNCOUNTED}(?:\W|nbsp;)+\Z")
+_SIX_DIGITS = re.compile(r"\d(?:[\s.\-()]{0,3}+[A-Z]?+\d){5,}+")
+_DOMAIN = rf"[\w-]++(?:(?i:{_DOT_FORM})[\w-]++)+"
+_SOME_AT, _SOME_SIGN = re.compile(rf"[Aa][Tt](?=((?:\s?[)\]]\s?|\s){_DOMAIN}))"), re.compile(rf"(?:@|&#64;|&(?i:commat);)(?=(\s?{_DOMAIN}))")
+_MAILBOX = re.compile(r"[\s(\[]*+[\w.+%-]*+")
+_TO_DIGIT = re.compile(r"[^\d\n]*+\d")
+
+
+def _tree(words: Iterable[str]) -> str:
+    """A pattern of any of the words, by their first letters: the search then passes over most of a text at once."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[:1], []).append(w[1:])
+    ends = by_first.pop("", None)
+    if not by_first:
+        return ""
+    heads = [c + _tree(rest) for c, rest in by_first.items()]
+    return f"(?:{'|'.join(heads)}){'?' if ends else ''}"
+
+
+_STREET_WORD, _STREET_END = (re.compile(rf"{_tree(sorted(words))}(?![^\W_])") for words in (_STREETS, _STREET_ENDS))
+_SHORT_STREET = re.compile("c/")
+
+
+def possible(text: str) -> list[tuple[int, int]]:
+    """Stretches, merged and in order, of all places where `check` could let a value through, each with the context beside it. Of
+    values longer than a window only parts may lie in them."""
+    spots = [m.span() for m in _SIX_DIGITS.finditer(text)]
+    for pattern in (_SOME_AT, _SOME_SIGN) if "@" in text or "&" in text else (_SOME_AT,):
+        for m in pattern.finditer(text):
+            a = m.start()
+            spots.append((a - _MAILBOX.match(text[max(0, a - LONG_WINDOW) : a][::-1]).end(), m.end(1)))
+    for m in _CHAIN.finditer(text):
+        a, b = m.span()
+        words = _KEPT_WORD.findall(text, a, b)
+        n = len(words)
+        # Function words before a name are taken off it; what then is left needs two words, the last of them no street.
+        if words[0].lower() in _NO_NAME and not _UNCOUNTED_BEFORE.search(text, max(0, a - 40), a):
+            while n and (m := _FIRST.match(text, a, b)) and m.group(1).lower() in _NO_NAME:
+                a, n = m.end(), n - 1
+        if n > 2 or n == 2 and words[-1].lower() not in _STREETS:
+            spots.append((a, b))
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower()[0] for c in text)
+    streets = [m.span() for m in _STREET_WORD.finditer(low) if not low[m.start() - 1 : m.start()].isalnum()] + [m.span() for p in (_STREET_END, _SHORT_STREET) for m in p.finditer(low)]
+    for a, b in streets:
+        before, after = _TO_DIGIT.match(text[max(0, a - LONG_WINDOW) : a][::-1]), _TO_DIGIT.match(text, b, b + LONG_WINDOW)
+        if before or after:
+            spots.append((a - before.end() if before else a, after.end() if after else b))
+    spots.sort()
+    out: list[tuple[int, int]] = []
+    for a, b in spots:
+        a, b = max(0, a - BESIDE), min(len(text), b + BESIDE)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def model(name: str = MODEL) -> Tagger:
     """The trained tagger beside this module, which may lie in an archive."""
     return Tagger.load(io.BytesIO(pkgutil.get_data(__package__, name)))
 
 
+def _places(text: str, known: dict, full: bool) -> Iterator[tuple[int, int]]:
+    """Windows to decode; a text of which all windows are known isn't searched for places again."""
+    if full and any(text[a:b] not in known for a, b in windows(text, True)):
+        return windows(text, True, possible(text))
+    return windows(text, full)
+
+
 def find(texts: list[str], tagger: Tagger | None = None, known: dict | None = None, full: bool = True) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of each text, in order; offsets are code points of the text as it is.
 
-    full: decode the whole of every text. Without it only the candidate places are: some four times less work, but values of forms that no
-    candidate pattern looks for are missed."""
+    full: decode the whole of every text, but for what `check` would refuse whatever the tagger says. Without it only the candidate places
+    are: less work, but values of forms that no candidate pattern looks for are missed."""
     tagger = tagger or model()
     known = {} if known is None else known
     spans: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    places = ((i, a, b) for i, t in enumerate(texts) for a, b in windows(t, full))
+    places = ((i, a, b) for i, t in enumerate(texts) for a, b in _places(t, known, full))
     while part := list(itertools.islice(places, ROUND)):
         todo = {texts[i][a:b] for i, a, b in part} - known.keys()
         ordered = sorted(todo, key=len)
@@ -256,8 +339,8 @@ def find(texts: list[str], tagger: Tagger | None = None, known: dict | None = No
 def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", full: bool = True) -> DataFrame:
     """One row an occurrence: (id, span_start, span_end, pii_type); offsets are 0-based code points, the end exclusive.
 
-    Null and empty texts have no rows. A text stored twice under one id gives its rows once for each. All texts are decoded
-    whole, window by window; `full` as in `find`. Nothing is shuffled (but small inputs are spread over the cores); the tagger (about 70 KB) is read once a worker.
+    Null and empty texts have no rows. A text stored twice under one id gives its rows once for each. All of a text is decoded that
+    may become a row, window by window; `full` as in `find`. Nothing is shuffled (but small inputs are spread over the cores); the tagger (about 70 KB) is read once a worker.
     """
     out = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType()), T.StructField("pii_type", T.StringType())])
 

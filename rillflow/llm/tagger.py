@@ -18,6 +18,8 @@ _MARKS = " \n.,:;-–'\"()[]{}|/\\@+#&=_<>!?*%$§°º“”’"
 _LOWER, _UPPER, _DIGIT, _MARK = 1, 27, 53, 63
 OTHER_LOWER, OTHER_UPPER, OTHER = _MARK + len(_MARKS), _MARK + len(_MARKS) + 1, _MARK + len(_MARKS) + 2
 SYMBOLS = OTHER + 1
+#: Stretches of which the paths are searched at once.
+STRETCHES = 512
 
 
 def _table(size: int = 0x2200) -> np.ndarray:
@@ -117,23 +119,25 @@ class Tagger:
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """The same as `emissions` (but for the rounding of the last sums), for decoding alone: gates lie one after the other and are
-        computed in place; their halves are taken out of them and into the weights behind."""
+        computed in place; their halves are taken out of them and into the weights behind. What a step works on stays in the cache, as
+        only the scores of the tags are kept of it. Padding has no candidate, so a state of zero stays zero there and needs no mask."""
         b, t = x.shape
         h4 = self.hidden
         one, half = np.float32(1), np.float32(0.5)
         table = self.table.reshape(2 * SYMBOLS, 4, h4).transpose(1, 0, 2).reshape(-1, h4)
+        table.reshape(4, 2, SYMBOLS, h4)[3, :, 0] = 0
         recur = np.ascontiguousarray((self.recur * half).reshape(2, h4, 4, h4).transpose(2, 0, 1, 3))
-        out = self.out * half
+        out = np.ascontiguousarray((self.out * half).reshape(2, h4, TAGS).transpose(0, 2, 1))
+        x = np.where(mask, x, 0)
         rows = np.ascontiguousarray(np.stack([x, x[:, ::-1] + SYMBOLS]).transpose(2, 0, 1)).astype(np.intp)
         gate = 2 * SYMBOLS * np.arange(4)[:, None, None]
-        live = None if mask.all() else np.stack([mask, mask[:, ::-1]]).transpose(2, 0, 1)[..., None].astype(np.float32)
-        z = np.empty((4, 2, b, h4), np.float32)
-        c, size = np.zeros((2, b, h4), np.float32), np.empty_like(z)
-        hs = np.zeros((t + 1, 2, b, h4), np.float32)
+        z, h, c = np.empty((4, 2, b, h4), np.float32), np.zeros((2, b, h4), np.float32), np.zeros((2, b, h4), np.float32)
+        size, at, part = np.empty_like(z), np.empty((4, 2, b), np.intp), np.empty((2, TAGS, b), np.float32)
+        e = np.empty((t, TAGS, b), np.float32)
+        e[:] = self.bias[:, None]
         for s in range(t):
-            h = hs[s + 1]
-            np.take(table, rows[s] + gate, axis=0, out=z, mode="clip")
-            np.matmul(hs[s], recur, out=size)
+            np.take(table, np.add(rows[s], gate, out=at), axis=0, out=z, mode="clip")
+            np.matmul(h, recur, out=size)
             z += size
             np.abs(z, out=size)
             size += one
@@ -142,71 +146,92 @@ class Tagger:
             c *= z[1]
             c += np.multiply(z[0], z[3], out=z[0])
             c *= half
-            if live is not None:
-                c *= live[s]
             np.abs(c, out=size[0])
             size[0] += one
             np.divide(c, size[0], out=h)
             h *= z[2]
-            if live is not None:
-                h *= live[s]
-        return hs[1:, 0] @ out[:h4] + hs[:0:-1, 1] @ out[h4:] + self.bias
+            np.matmul(out, h.transpose(0, 2, 1), out=part)
+            e[s] += part[0]
+            e[t - 1 - s] += part[1]
+        return e.transpose(0, 2, 1)
 
     def _hopeful(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Rows of which the best path may hold an entity. In the others no stretch of entity tags can score as much as none there, even
-        if it changes between the first tags of all types, and between the others, at the best transition of any: their path is empty."""
+        """Positions (length, batch) that the best path may give to an entity. No stretch of entity tags over one of the others can score as
+        much as none there, even if it changes between the first tags of all types, and between the others, at the best transition of
+        any: the best path has no entity there."""
         t, b, _ = e.shape
         tags = (np.arange(1, TAGS, 2), np.arange(2, TAGS, 2))
         none = self.trans[0, 0]
-        over = []
-        for kinds in tags:
-            best = e[:, :, kinds[0]]
-            for k in kinds[1:]:
-                best = np.maximum(best, e[:, :, k])
-            over.append(np.where(mask.T, best - e[:, :, 0], np.float32(-1e9)))
+        by_tag = e.transpose(0, 2, 1)
+        over = np.stack([by_tag[:, 1::2].max(1), by_tag[:, 2::2].max(1)], 1)
+        over -= by_tag[:, :1]
+        over[~np.broadcast_to(mask.T[:, None], over.shape)] = -1e9
+        column = lambda values: np.array(values, np.float32)[:, None]
         step = [[self.trans[np.ix_(p, q)].max() - none for q in tags] for p in tags]
-        enter = [self.trans[0, q].max() - none for q in tags]
-        at = [over[q][0] + (self.start[tags[q]].max() - self.start[0]) for q in (0, 1)]
+        into, onto = [column(x) for x in step], [column(x) for x in zip(*step)]
+        enter, leave = column([self.trans[0, q].max() - none for q in tags]), column([self.trans[p, 0].max() - none for p in tags])
+        starts, ends = column([self.start[q].max() - self.start[0] for q in tags]), column([self.end[p].max() - self.end[0] for p in tags])
         last = mask.sum(1) - 1
-        leave = [self.trans[p, 0].max() - none for p in tags]
-        ends = [self.end[p].max() - self.end[0] for p in tags]
-        top = np.full(b, -np.inf, np.float32)
-        for s in range(t):
-            if s:
-                at = [np.maximum(np.maximum(at[0] + step[0][q], at[1] + step[1][q]), enter[q]) + over[q][s] for q in (0, 1)]
-            for p in (0, 1):
-                np.maximum(top, at[p] + np.where(last == s, np.float32(ends[p]), np.float32(leave[p])), out=top)
-        return top > -1e-2
+        # The most that a stretch scores up to each position, with it; and from there on, without it.
+        before, after, other = np.empty_like(over), np.empty_like(over), np.empty((2, b), np.float32)
+        np.add(over[0], starts, out=before[0])
+        for s in range(1, t):
+            np.add(before[s - 1, 0], into[0], out=before[s])
+            np.maximum(before[s], np.add(before[s - 1, 1], into[1], out=other), out=before[s])
+            np.maximum(before[s], enter, out=before[s])
+            before[s] += over[s]
+        after[:] = leave
+        after[last, :, np.arange(b)] = ends[:, 0]
+        for s in range(t - 2, -1, -1):
+            then = over[s + 1]
+            then += after[s + 1]
+            np.maximum(after[s], np.add(then[0], onto[0], out=other), out=after[s])
+            np.maximum(after[s], np.add(then[1], onto[1], out=other), out=after[s])
+        before += after
+        return before.max(1) > -1e-2
 
     def decode(self, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Best tag path of each row of symbols, and for each position how far the best tag's score lies above that of no entity."""
+        """Best tag path of each row of symbols, and for each position how far the best tag's score lies above that of no entity. The path
+        is searched in each hopeful stretch alone, between the positions without entity beside it."""
         x, mask = pad(rows)
         e = self.scores(x, mask)
-        some = np.flatnonzero(self._hopeful(e, mask))
         out = [(np.zeros(len(r), np.int8), np.zeros(len(r), np.float32)) for r in rows]
-        if len(some):
-            for i, found in zip(some, self._paths(e[:, some], mask[some])):
-                out[i] = (found[0][: len(rows[i])], found[1][: len(rows[i])])
+        edges = np.diff(np.pad(self._hopeful(e, mask).T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, first), end = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+        a, z = np.maximum(first - 1, 0), np.minimum(end + 1, mask.sum(1)[row])
+        order = np.argsort(z - a, kind="stable")
+        for k in range(0, len(order), STRETCHES):
+            some = order[k : k + STRETCHES]
+            at = a[some] + np.arange((z - a)[some].max())[:, None]
+            part = e[np.minimum(at, len(e) - 1), row[some]]
+            part[(at < first[some]) | (at >= end[some]), 1:] = -1e9
+            for i, (path, gain) in zip(some, self._paths(part, (at < z[some]).T)):
+                n = z[i] - a[i]
+                out[row[i]][0][a[i] : z[i]], out[row[i]][1][a[i] : z[i]] = path[:n], gain[:n]
         return out
 
     def _paths(self, e: np.ndarray, mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         t, b, k = e.shape
-        back = np.empty((t, b, k), np.int8)
-        score = self.start + e[0]
+        lens = mask.sum(1)
+        # Longest rows first: those that go on at a position are the first `on` of them.
+        order = np.argsort(-lens, kind="stable")
+        e, on = e[:, order], [*(lens > np.arange(t)[:, None]).sum(1).tolist(), 0]
+        score, step = np.empty((t, b, k), np.float32), np.empty((k, b, k), np.float32)
+        score[0] = self.start + e[0]
         for s in range(1, t):
-            step = score[:, :, None] + self.trans
-            best = step.argmax(1)
-            new = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + e[s]
-            on = mask[:, s, None]
-            back[s] = np.where(on, best, np.arange(k))
-            score = np.where(on, new, score)
-        last = (score + self.end).argmax(1)
-        path = np.empty((t, b), np.int8)
-        path[-1] = last
-        for s in range(t - 1, 0, -1):
-            path[s - 1] = back[s][np.arange(b), path[s]]
+            n = on[s]
+            np.add(score[s - 1, :n].T[:, :, None], self.trans[:, None], out=step[:, :n])
+            np.add(step[:, :n].max(0), e[s, :n], out=score[s, :n])
+        path = np.zeros((t, b), np.int8)
+        for s in range(t - 1, -1, -1):
+            n, m = on[s], on[s + 1]
+            if m:
+                path[s, :m] = (score[s, :m] + self.trans.T[path[s + 1, :m]]).argmax(1)
+            if n > m:
+                path[s, m:n] = (score[s, m:n] + self.end).argmax(1)
         gain = np.take_along_axis(e, path[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0]
-        return [(path[:, i], gain[:, i]) for i in range(b)]
+        place = np.argsort(order)
+        return [(path[:, i], gain[:, i]) for i in place]
 
     def loss(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag paths y (batch, length) and its gradients."""

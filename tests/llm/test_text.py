@@ -462,3 +462,69 @@ def test_decoding_equals_the_full_path_search():
         assert np.abs(e - t.scores(x, mask))[mask.T].max() < 1e-3
         assert all((p[: len(s)] == q).all() for (p, _), (q, _), s in zip(t._paths(e, mask), t.decode(rows), rows))
     assert not pii.model()._hopeful(pii.model().scores(x, mask), mask).all()
+
+
+def _decoded(monkeypatch, texts):
+    """Characters that the tagger decodes of the texts."""
+    seen, decode = [], Tagger.decode
+    monkeypatch.setattr(Tagger, "decode", lambda self, rows: seen.extend(map(len, rows)) or decode(self, rows))
+    found = pii.find(texts)
+    monkeypatch.undo()
+    return sum(seen), found
+
+
+def test_only_what_may_become_a_row_is_decoded(monkeypatch):
+    """The work of p8_found: nothing of a text without any possible value, and of others little beside the values."""
+    tide = "In May the tide was low at 7, and 12 boats lay on the sand.\nNo one came by. The street was empty.\n" * 80
+    assert _decoded(monkeypatch, [tide]) == (0, [[]])
+    value = "Oluwaseun Adeyemi"
+    n, found = _decoded(monkeypatch, [tide + f"It was seen by {value} there. " + tide])
+    assert n == len(value) + 2 * pii.BESIDE and found == [[(len(tide) + 15, len(tide) + 15 + len(value), "name")]]
+
+
+PIECES = (
+    "John Smith O'Brien D'Arcy Anna-Maria van de La la The In Von Watson-Clarke J. b. Šárka Łukasz İzmir NBSP nbsp Street street st STRASSE Bahnhofstraße ẞ via C/ 12 221B 7 07700 900123 020 7946 0958 "
+    "+44 (0) 1234567 AB123456C C01X00T47 QQ 12 34 56 C kate at bell dot com example.org @ (at) [at] (dot) &#64; &commat; a.b x@y.z and Les des 's l' Al Иван 𝐀b Flat 6 x12 ²nd ٣٤٥٦٧٨٩ I. am"
+).split()
+BETWEEN = [*" " * 5, "\n", "  ", ", ", ",", "-", ".", "&nbsp;", "&NBSP;", "'", "’", ":", " - ", "; ", "_", "/", "(", ")", "\u00a0", "\u3000", "", "<!--", "\u0301"]
+
+
+def test_no_value_lies_outside_the_possible_places(monkeypatch):
+    """Whatever span the tagger gives: what the check makes of it has its counted words, digits or sign in a possible place."""
+    import re
+
+    monkeypatch.setattr(pii, "BESIDE", 0)
+    r, passed = random.Random(11), 0
+    for _ in range(120):
+        text = "".join(r.choice(PIECES) + r.choice(BETWEEN) for _ in range(7))
+        places = pii.possible(text)
+        for kind, name in enumerate(TYPES):
+            for a, b in {f for x in range(len(text)) for y in range(x + 1, len(text) + 1) if (f := pii.check(text, x, y, kind))}:
+                passed += 1
+                if name == "name":
+                    words = [m.span() for m in re.finditer(pii._WORD, text[a:b]) if m[0] not in pii._PARTICLES and m[0].lower() not in pii._ARTICLES and m[0] != "nbsp"]
+                    a, b = a + words[0][0], a + words[-1][1]
+                more = 12 if name in ("phone", "id_number") else 0  # prefixes and extensions
+                inside = any(x < b and a < y if name == "street_address" else x - more <= a and b <= y + more for x, y in places)
+                assert inside, (name, text, text[a:b], places)
+    assert passed > 300
+
+
+def test_possible_places_give_what_whole_texts_give(monkeypatch):
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    texts = [t for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() if t]
+    rows = lambda found: {(i, *s) for i, spans in enumerate(found) for s in spans}
+    n, some = _decoded(monkeypatch, texts)
+    monkeypatch.setattr(pii, "possible", lambda t: [(0, len(t))])
+    whole, all_ = _decoded(monkeypatch, texts)
+    some, all_ = rows(some), rows(all_)
+    assert n < 0.6 * whole and len(some ^ all_) <= 0.01 * len(all_)
+
+
+@pytest.mark.parametrize("piece", ["A", "漢", "İ", "The In ", "A'", "A  ", "1 ", "at ", "street "])
+def test_places_of_long_monotonous_texts(piece):
+    """The search takes some time a character, not a square of them."""
+    assert pii.possible(piece * 40_000) in ([], [(0, len(piece) * 40_000)])
